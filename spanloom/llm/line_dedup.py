@@ -40,8 +40,8 @@ def line_table(documents: DataFrame, min_chars: int = 40) -> DataFrame:
 
 
 def keep_bitmaps(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: str = "last") -> DataFrame:
-    """(doc_id, tid, n_dropped, runs) for each document that loses lines: runs are lengths of alternating runs of kept and
-    dropped lines, the first of kept ones, up to the last dropped line.
+    """(doc_id, tid, n_dropped, runs) for each document that loses lines: runs are the bounds of the runs of dropped
+    lines, the first position of each and the first behind it.
 
     A key that at least `min_docs` documents hold stays only in the one with the largest ("last") or smallest ("first")
     doc_id. The range partitioning takes the document as well, so that a line in a third of all documents is spread over
@@ -58,27 +58,44 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, k
     return rows.select("doc_id", "tid", F.size("p").cast("long").alias("n_dropped"), _runs(F.col("p")).alias("runs"))
 
 
-def _runs(p: Column) -> Column:
-    """Run lengths, kept first, of the positions that are not and are in the sorted array p."""
-    n = F.size(p)
-    starts = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - 1))
-    ends = F.filter(p, lambda x, i: (i == n - 1) | (F.get(p, i + 1) > x + 1))
-    pairs = F.transform(starts, lambda s, i: F.array(s - F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1), F.get(ends, i) - s + 1))
-    return F.flatten(pairs)
+def let(value: Column, use) -> Column:
+    """use(value), the value computed once rather than for each element of a lambda that looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(positions: Column) -> Column:
+    """Run bounds of sorted positions: where each run of them begins, and where it has ended, in turn."""
+
+    def of(p: Column) -> Column:
+        starts = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - 1))
+        ends = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + 1))
+        return F.flatten(F.zip_with(starts, ends, lambda s, e: F.array(s, e + 1)))
+
+    return let(positions, of)
 
 
 def dropped_positions(runs: Column) -> Column:
     """The positions that a keep bitmap drops."""
-    bounds = F.transform(runs, lambda _, i: F.aggregate(F.slice(runs, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
-    return F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.size(runs)), lambda i: i % 2 == 0), lambda i: F.sequence(F.element_at(bounds, i - 1), F.element_at(bounds, i) - 1)))
+    pairs = F.filter(runs, lambda _, i: i % 2 == 0)
+    ends = F.filter(runs, lambda _, i: i % 2 == 1)
+    return F.flatten(F.zip_with(pairs, ends, lambda s, e: F.sequence(s, e - 1)))
+
+
+def lines_without(text: Column, gone: Column) -> Column:
+    """The lines of a text at other positions, joined by newlines."""
+
+    def of(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    return let(split_lines(text), of)
 
 
 def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """documents with __n_lines, __n_dropped and __kept: the text of the lines that stay, joined by newlines."""
     text = text_column()
     marked = documents.withColumn("__tid", F.xxhash64(text)).join(bitmaps.select(F.col("doc_id").alias("__id"), F.col("tid").alias("__t"), F.col("n_dropped").alias("__d"), dropped_positions(F.col("runs")).alias("__gone")), (F.col("doc_id") == F.col("__id")) & (F.col("__tid") == F.col("__t")), "left")
-    lines = split_lines(text)
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
+    kept = F.when(F.col("__gone").isNull(), text).otherwise(lines_without(text, F.col("__gone")))
     n = (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return marked.withColumns({"__n_lines": n, "__n_dropped": F.coalesce("__d", F.lit(0)).cast("long"), "__kept": kept}).drop("__tid", "__id", "__t", "__d", "__gone")
 
