@@ -181,11 +181,15 @@ def force_splits(text: str, offsets: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf(TOKEN)
-def rule_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Rule tokens of each text; none for a null one. Words recur, so that the parts of a word are remembered."""
-    for s in texts:
-        yield s.map(lambda t: [{"value": v, "start": a, "end": b, "id": i} for v, a, b, i in tokenize(t)] if t is not None else [])
+def rule_tokens(text: Column) -> Column:
+    """array<struct<value, start, end, id>> of a text's rule tokens; none for a null text."""
+
+    @F.pandas_udf(TOKEN)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda t: [{"value": v, "start": a, "end": b, "id": i} for v, a, b, i in tokenize(t)] if t is not None else [])
+
+    return run(text)
 
 
 def wordpiece(tokens: list[str], vocab: frozenset[str], unknown: str = "[UNK]", longest: int = 100) -> list[list[str]]:

@@ -50,24 +50,24 @@ def revise_tags(df: DataFrame, *key: str, order: str = "id") -> DataFrame:
     return df.withColumn("tag", F.when((F.col("tag") == "E") & before.isNotNull() & ~before.isin("B", "I"), "O").otherwise(F.col("tag")))
 
 
-def decode(tokens: Column, threshold: float = 0.5) -> Column:
-    """Candidate spans of array<struct<start, end, s, o, i, e, b>>: single tokens with s over the threshold, and runs from
-    a b over it to an e over it whose inner i are all over it; the score is the least of these."""
-
-    def runs(first: Column, k: Column) -> Column:
-        inner = lambda j: F.slice(tokens, k + 2, j - k - 1)
-        tail = F.filter(F.sequence(k + 1, F.size(tokens)), lambda j: (j < F.size(tokens)) & (F.get(tokens, j)["e"] > threshold) & F.forall(inner(j), lambda x: x["i"] > threshold))
-        lowest = lambda j: F.aggregate(inner(j), F.least(first["b"], F.get(tokens, j)["e"]), lambda a, x: F.least(a, x["i"]))
-        return F.transform(tail, lambda j: F.struct(first["start"].alias("start"), F.get(tokens, j)["end"].alias("end"), lowest(j).alias("score")))
-
-    none = F.array().cast("array<struct<start:int,end:int,score:double>>")
-
-    def of(x: Column, k: Column) -> Column:
-        single = F.when(x["s"] > threshold, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("score")))).otherwise(none)
-        many = F.when((x["b"] > threshold) & (k + 1 < F.size(tokens)), runs(x, k)).otherwise(none)
-        return F.concat(single, many)
-
-    return F.flatten(F.transform(tokens, of))  # give a stored column: the lambdas look back at it
+def decode(tokens: DataFrame, *key: str, threshold: float = 0.5) -> DataFrame:
+    """(key, start, end, score) of the candidate spans of scored tokens (key, id, start, end, s, o, i, e, b): single
+    tokens with s over the threshold, and runs from a b over it to an e over it whose inner i are all over it; the score
+    is the least of these.
+
+    Tokens between two of too low an i form a run; a first and a last token meet by an equality join on the run, and the
+    inner scores are looked up in the run's array.
+    """
+    order = Window.partitionBy(*key).orderBy("id")
+    low = F.sum(F.when(F.col("i") > threshold, 0).otherwise(1)).over(order)
+    t = tokens.withColumn("run", low)
+    within = t.groupBy(*key, "run").agg(F.min("id").alias("at"), F.transform(F.array_sort(F.collect_list(F.struct("id", "i"))), lambda x: x["i"]).alias("inner"))
+    first = t.where(F.col("b") > threshold).select(*key, "run", F.col("id").alias("from"), "start", "b")
+    last = t.where(F.col("e") > threshold).select(*key, (F.col("run") - F.when(F.col("i") > threshold, 0).otherwise(1)).alias("run"), F.col("id").alias("to"), "end", "e")
+    pairs = first.join(within, [*key, "run"]).join(last, [*key, "run"]).where(F.col("to") > F.col("from"))
+    lowest = F.array_min(F.slice("inner", F.col("from") - F.col("at") + 2, F.col("to") - F.col("from") - 1))
+    many = pairs.select(*key, "start", "end", F.least("b", "e", F.coalesce(lowest, F.lit(1.0))).alias("score"))
+    return tokens.where(F.col("s") > threshold).select(*key, "start", "end", F.col("s").alias("score")).unionByName(many)
 
 
 def locate_term(text: Column, term: Column) -> Column:
