@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_limits, materialize
+from spanloom.llm.common import arrow_limits, materialize, tidy
 
 #: Bits of a hash string, trees, rows of a block at most, and queries that travel to the blocks at a time.
 BITS, TREES, BLOCK_ROWS, QUERY_BLOCK = 64, 16, 8192, 16_384
@@ -162,7 +162,7 @@ def build_blocks(vectors: DataFrame, forest: Forest, block_rows: int = BLOCK_ROW
         if n:
             yield block(ids, xs)
 
-    return materialize(vectors.mapInArrow(run, "n long, ids binary, x binary, keys binary, rows binary"), "forest")
+    return materialize(vectors.mapInArrow(tidy(run), "n long, ids binary, x binary, keys binary, rows binary"), "forest")
 
 
 def query_blocks(vectors: DataFrame, every: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -212,6 +212,6 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0
                         hit = search_block(forest, x.reshape(n, -1), rows, keys.reshape(-1, n), place.reshape(-1, n), q, ids, k)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[hit[0]]), pa.array(copy[hit[0]], pa.int32()), pa.array(rows[hit[1]]), pa.array(hit[2])], names)
 
-            found = found.unionByName(blocks.mapInArrow(run, schema))
+            found = found.unionByName(blocks.mapInArrow(tidy(run), schema))
     best = Window.partitionBy("query_id", "copy").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_limits
+from spanloom.llm.common import arrow_limits, tidy
 
 
 @dataclass(frozen=True)
@@ -143,7 +143,7 @@ def format_fragments(conversations: DataFrame, template: Template = CHATML, max_
         if begun:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(fragment(), types, strict=True)], names)
 
-    return rows.mapInArrow(run, FRAGMENT)
+    return rows.mapInArrow(tidy(run), FRAGMENT)
 
 
 def chat_report(fragments: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -188,4 +188,4 @@ def chat_report(fragments: DataFrame, template: Template = CHATML) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(result(), types, strict=True)], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

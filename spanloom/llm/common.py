@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 #: Text bytes that one vectorised step handles; a piece is longer only when a single word is.
 BLOCK_BYTES = 1 << 20
 #: Rows and bytes of one Arrow batch, so that a Python worker's memory is bounded whatever the texts' lengths.
-ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +47,21 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def tidy(run):
+    """A map over Arrow batches that gives freed memory back when its task ends: Python workers are used again by later
+    stages, and would keep what the largest batch took."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_column(name: str = "text"):
     """The text as a string, empty where it is null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

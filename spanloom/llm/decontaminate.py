@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import LOWER, WORD, arrow_limits, mix, run_hashes, text_blocks, text_column, words_of
+from spanloom.llm.common import LOWER, WORD, arrow_limits, mix, run_hashes, text_blocks, text_column, tidy, words_of
 
 #: Items and their words that one block of the benchmark holds; a larger benchmark takes several passes.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
@@ -274,7 +274,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, share: float = 0.2
                 rows = [(doc[d], *rest) for d, *rest in hits]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names)
 
-        out = out.unionByName(slim.mapInArrow(run, HITS))
+        out = out.unionByName(slim.mapInArrow(tidy(run), HITS))
     return out
 
 
@@ -293,5 +293,5 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, share: float =
                     keep[d] = False
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-        documents = documents.withColumn("__whole_text", text_column()).mapInArrow(run, schema)
+        documents = documents.withColumn("__whole_text", text_column()).mapInArrow(tidy(run), schema)
     return documents

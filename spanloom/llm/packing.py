@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_limits, materialize, text_column
+from spanloom.llm.common import arrow_limits, materialize, text_column, tidy
 
 #: Words and punctuated words whose ids a worker remembers; the first seen stay, which holds the frequent ones.
-CACHE = 600_000
+CACHE = 200_000
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 #: Marks that the byte-level pattern never joins to a letter before them.
@@ -130,7 +130,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, size: int = 2048, en
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select("doc_id", text_column().alias("text")).mapInArrow(run, _PIECES)
+    return documents.select("doc_id", text_column().alias("text")).mapInArrow(tidy(run), _PIECES)
 
 
 def plan_packing(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:

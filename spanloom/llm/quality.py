@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORD, arrow_limits, crc_mod, lower_table, mix, run_hashes, text_blocks, text_column, words_of
+from spanloom.llm.common import WORD, arrow_limits, crc_mod, lower_table, mix, run_hashes, text_blocks, text_column, tidy, words_of
 
 #: Byte classes: (class, bytes); bytes of no class are class 0, other control bytes.
 _CLASSES = [(1, b" "), (2, b"\n\t\r"), (3, bytes(range(97, 123))), (4, bytes(range(65, 91))), (5, b"0123456789"), (6, b"."), (7, b","), (8, b"!?"), (9, b"|"), (10, b"#$%&*@^~=+_"), (11, b"\"'()[]{}-:;`"), (12, b"<>/\\"), (13, bytes(range(0xC0, 0x100))), (14, bytes(range(0x80, 0xC0)))]
@@ -171,7 +171,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = 3000, fol
             x = text_features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("kind"), pa.array(x.astype("<f4").tobytes()[i * 4 * WIDTH : (i + 1) * 4 * WIDTH] for i in range(len(x)))], ["doc_id", "kind", "x"])
 
-    got = rows.mapInArrow(featurise, "doc_id long, kind int, x binary").toPandas().sort_values(["kind", "doc_id", "x"])
+    got = rows.mapInArrow(tidy(featurise), "doc_id long, kind int, x binary").toPandas().sort_values(["kind", "doc_id", "x"])
     parts = [np.frombuffer(b"".join(got.x[got.kind == k]), "<f4").reshape(-1, WIDTH) for k in (1, 0)]
     return fit_pu(*parts)
 
@@ -189,7 +189,7 @@ def score_quality(documents: DataFrame, model: Model) -> DataFrame:
             score = pa.array(shared.value.score(text_features(b.column(b.num_columns - 1))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], score], [*b.schema.names[:-1], "quality_score"])
 
-    return rest.withColumn("__whole_text", text_column()).mapInArrow(run, rest.schema.add("quality_score", "double"))
+    return rest.withColumn("__whole_text", text_column()).mapInArrow(tidy(run), rest.schema.add("quality_score", "double"))
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, **bounds) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_limits, materialize, text_column
+from spanloom.llm.common import arrow_limits, materialize, text_column, tidy
 from spanloom.llm.components import connected_components
 
 _SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), width) for t in b.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return documents.select("doc_id", text_column().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return documents.select("doc_id", text_column().alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, block: int = BLOCK)
             yield out(*_links(whole, radius))
             rest = [c[done:] for c in cols]
 
-    return tasks.mapInArrow(run, "a long, b long")
+    return tasks.mapInArrow(tidy(run), "a long, b long")
 
 
 def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import LOWER, WORD, arrow_limits, crc_mod, mix, run_hashes, text_blocks, text_column, words_of
+from spanloom.llm.common import LOWER, WORD, arrow_limits, crc_mod, mix, run_hashes, text_blocks, text_column, tidy, words_of
 
 WINDOW, STRIDE = 48, 24
 #: Sizes of the word vector, the character vector, the recurrent state of one direction, and the n-gram table.
@@ -320,7 +320,7 @@ def score_toxicity(documents: DataFrame, network: Network) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.scores(b.column(b.num_columns - 1)))], [*b.schema.names[:-1], "toxicity_score"])
 
-    return rest.withColumn("__whole_text", text_column()).mapInArrow(run, rest.schema.add("toxicity_score", "double"))
+    return rest.withColumn("__whole_text", text_column()).mapInArrow(tidy(run), rest.schema.add("toxicity_score", "double"))
 
 
 def classify_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, **how) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_limits, materialize, scratch_path
+from spanloom.llm.common import arrow_limits, materialize, scratch_path, tidy
 
 #: Records nearer than GAP bytes are read together, up to SPAN bytes; an archive is closed after ROLL bytes.
 GAP, SPAN, ROLL = 1 << 16, 8 << 20, 1 << 30
@@ -123,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
             if out is not None:
                 out.close()
 
-    return materialize(mark_revisits(pages, min_bytes).mapInArrow(run, INDEX), "warc-index")
+    return materialize(mark_revisits(pages, min_bytes).mapInArrow(tidy(run), INDEX), "warc-index")
 
 
 _INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
@@ -167,7 +167,7 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP, span: int = SPAN
                         got = [r | {"payload": None} for r in got]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in zip(_RECORD_NAMES, _RECORD_TYPES, strict=True)], _RECORD_NAMES)
 
-    return sorted_rows.mapInArrow(run, RECORD)
+    return sorted_rows.mapInArrow(tidy(run), RECORD)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, **how) -> DataFrame:
