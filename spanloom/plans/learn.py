@@ -226,7 +226,7 @@ def join_11(spark: SparkSession, d: str) -> DataFrame:
     return kept_abbreviations(spark, d)
 
 
-_PLACES = rf"WITH {_ABBR}, sh AS (SELECT DISTINCT short FROM ke WHERE length(short) > 3), cw AS (SELECT conv_id, turn, i, w[i] AS w FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations))) SELECT conv_id, turn, short, count(*) AS n, min(i) AS first FROM cw JOIN sh ON sh.short = cw.w GROUP BY conv_id, turn, short"
+_PLACES = rf"WITH {_ABBR}, sh AS (SELECT DISTINCT short FROM ke WHERE length(short) > 3), cx AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations), cw AS (SELECT conv_id, turn, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM cx) SELECT conv_id, turn, short, count(*) AS n, min(i) AS first FROM cw JOIN sh ON sh.short = cw.w GROUP BY conv_id, turn, short"
 
 
 @query("join_12", _PLACES)

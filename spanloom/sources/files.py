@@ -23,8 +23,9 @@ def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False)
 
 
 def write_tsv(df: DataFrame, path: str, *order: str) -> None:
-    """A tab-separated table, sorted over all parts by `order`: a range sort, not one file."""
-    (df.orderBy(*order) if order else df).write.csv(path, sep="\t", quote='"', escape='"', emptyValue="", nullValue="\\N", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    """A tab-separated table, sorted over all parts by `order`: a range sort, not one file. Empty texts are quoted, so
+    that they come back empty."""
+    (df.orderBy(*order) if order else df).write.csv(path, sep="\t", quote='"', escape='"', emptyValue='""', nullValue="\\N", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
