@@ -226,8 +226,9 @@ def _odds(groups: np.ndarray, keys: np.ndarray, label: np.ndarray) -> tuple[np.n
     return names, a + b, np.log((a + 0.5) / (label.sum() + 1)) - np.log((b + 0.5) / ((1 - label).sum() + 1))
 
 
-def fit_toxicity(texts: list[str], label: np.ndarray, words: int = 4000, epochs: int = 6, batch: int = 32, seed: int = 5) -> Network:
-    """Adam on the logistic loss of each text's worst window. The first component of word and n-gram vectors starts as
+def fit_toxicity(texts: list[str], label: np.ndarray, words: int = 4000, epochs: int = 6, batch: int = 32, seed: int = 5, prevalence: float | None = None) -> Network:
+    """Adam on the logistic loss of each text's worst window, both labels weighing the same; with a prevalence, scores
+    are then moved from equal odds to the odds that it stands for. The first component of word and n-gram vectors starts as
     the log odds with which they tell toxic texts, so that a few passes are enough."""
     data = [t.encode() for t in texts]
     off = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
@@ -284,6 +285,8 @@ def fit_toxicity(texts: list[str], label: np.ndarray, words: int = 4000, epochs:
                 m2[k] += 0.01 * (gr * gr - m2[k])
                 net.p[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         rate *= 0.8
+    if prevalence is not None and 0 < prevalence < 1:
+        net.p["bias"] += np.float32(np.log(prevalence / (1 - prevalence)))
     return net
 
 
@@ -302,10 +305,11 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 600, f
     """Fit on at most `sample` toxic and `sample` other labelled texts outside the held-out fold, chosen by a hash of
     doc_id; the bound holds what reaches the driver."""
     known = labels.where((crc_mod("doc_id", folds) != held_out) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = known.agg(F.avg("toxic")).first()[0]
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
     got = documents.select("doc_id", text_column().alias("text")).join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "text"])  # at most 2 * sample ids
-    return fit_toxicity(list(got["text"]), got["toxic"].to_numpy(np.float64), **how)
+    return fit_toxicity(list(got["text"]), got["toxic"].to_numpy(np.float64), prevalence=share, **how)
 
 
 def score_toxicity(documents: DataFrame, network: Network) -> DataFrame:
