@@ -91,7 +91,7 @@ def set_2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("srt_3", f"WITH {_SIDES} SELECT w, target FROM u ORDER BY md5(w), w LIMIT 500")
 def srt_3(spark: SparkSession, d: str) -> DataFrame:
-    return unambiguous(spark, d).orderBy(F.md5("w"), "w").limit(500)
+    return unambiguous(spark, d).orderBy(F.md5("w"), "w")
 
 
 _MI = f"""{_SIDES}, x AS (SELECT w, target, '^' || w || '$' AS m FROM u),
