@@ -62,6 +62,14 @@ def tidy(run):
     return wrapped
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores in front for as long as some column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_column(name: str = "text"):
     """The text as a string, empty where it is null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

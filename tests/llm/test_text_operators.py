@@ -237,6 +237,46 @@ def test_decontamination_against_brute_force(spark):
     assert dc.contamination(docs, bench.where("item_id > 97")).count() == 0
 
 
+def test_sweep_gives_the_walk_of_every_window():
+    rng = np.random.default_rng(4)
+    text = np.append(rng.integers(1, 1 << 62, 700).astype(np.uint64), np.uint64(0))
+    bits = dc.walk_bits(text, 2)
+    got = dc.sweep(bits, 701, [0, 3, 17, 46])
+    for s in range(701):
+        at = s
+        for j in range(47):
+            if j in got:
+                assert got[j][0][got[j][1][s]] == at
+            at += int(bits[at]) >> j & 1
+
+
+def test_decontamination_recall_at_the_allowed_edits():
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [" ".join(rng.choice(vocabulary, n)) for n in (*rng.integers(1, 70, 150), 400, 900)]
+    index = dc.build_index(list(range(len(items))), items)
+    assert min(index.recall.values()) >= 0.97
+    exact = [f"{' '.join(rng.choice(vocabulary, 30))} {x} {' '.join(rng.choice(vocabulary, 30))}" for x in items]
+    assert {(d, i) for d, i, *_ in dc.find_leaks(index, pa.array(exact))} >= {(i, i) for i in range(len(items))}
+    hit = 0
+    for _ in range(4):
+        texts = []
+        for x in items:
+            words = np.array([int(w[1:]) for w in x.split()], np.uint64)
+            edited = dc._edited(words, int(0.2 * len(words)), rng)
+            texts.append(" ".join(rng.choice(vocabulary, 50)) + " " + " ".join(f"v{w}" for w in edited) + " " + " ".join(rng.choice(vocabulary, 50)))
+        hit += len({(d, i) for d, i, *_ in dc.find_leaks(index, pa.array(texts))} & {(i, i) for i in range(len(items))})
+    assert hit >= 0.95 * 4 * len(items)
+
+
+def test_a_long_item_costs_no_other_item_memory():
+    items = [f"a{i} b{i * 7} c{i % 91} d e{i} f g{i}" for i in range(3000)] + [" ".join(f"w{i}" for i in range(12_000))]
+    index = dc.build_index(list(range(len(items))), items)
+    assert max(len(p) for c in index.classes for p in c.parts) <= dc.PART
+    text = " ".join(f"w{i}" for i in range(11_500)) + " and more"
+    assert [(d, i, s, n) for d, i, s, n, *_ in dc.find_leaks(index, pa.array(["x", text]))] == [(1, 3000, 0, 11_500)]
+
+
 def test_packing(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
