@@ -16,7 +16,7 @@ from spanloom.llm import decontaminate as dc
 from spanloom.llm import packing, quality, simhash, toxicity
 from spanloom.llm.common import string_buffer, text_blocks
 from spanloom.llm.components import connected_components
-from spanloom.llm.licenses import scan_licenses
+from spanloom.llm.licenses import TEMPLATES, Template, scan_licenses
 from spanloom.llm.line_dedup import dedup_lines, line_report
 
 SCHEMA = "doc_id long, text string, score double, source string"
@@ -127,6 +127,16 @@ def test_licences(spark):
     assert scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_licence_plan_does_not_grow_with_the_templates(spark):
+    many = [*TEMPLATES, *(Template(f"x{i}", f"terms of the number{i} licence as given below", f"number{i} licence") for i in range(300))]
+    docs = frame(spark, [(1, "a. Terms of the NUMBER7 licence, as given below; number7 licence"), (2, "terms of number8"), (3, "x number9 licence")])
+    few, lots = scan_licenses(docs), scan_licenses(docs, templates=many)
+    nodes = [len(d._jdf.queryExecution().optimizedPlan().toString().splitlines()) for d in (few, lots)]
+    assert nodes[0] == nodes[1]
+    got = {r.doc_id: (r.n_base, r.labels, r.score) for r in lots.collect()}
+    assert got[1] == (0, "x7", 1.0) and got[2] == (0, "", 0.0) and got[3][1] == ""
+
+
 def plain_lines(rows, min_chars=40, min_docs=5):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     held: dict[str, set] = {}
