@@ -159,6 +159,14 @@ def test_lines_against_a_plain_version(spark):
     rows = odd(rows)
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_report(frame(spark, rows)).collect()), key=str)
     assert got == plain_lines(rows)
+    for share in (1, 12):  # no line is hot, some are
+        hot = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_report(frame(spark, rows), spread=3, share=share).collect()), key=str)
+        assert hot == got
+    first = {r.doc_id: r.n_dropped for r in line_report(frame(spark, rows), keep="first").collect() if r.doc_id is not None}
+    flipped = plain_lines([(None if i is None else -i, t) for i, t in rows])
+    assert first == {-i: n for i, _, n, _ in flipped if i is not None}
+    named = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, kept int, n_lines int, row int")
+    assert dedup_lines(named).columns == named.columns and dedup_lines(named).agg({"row": "sum"}).first()[0] == 3 * len(rows)
     kept = dedup_lines(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "score", "source"] and kept.count() == len(rows)
     assert line_report(frame(spark, [])).count() == 0
