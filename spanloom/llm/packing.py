@@ -16,10 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_limits, materialize, text_column, tidy
+from spanloom.llm.common import arrow_limits, fresh, materialize, text_column, tidy
 
 #: Words and punctuated words whose ids a worker remembers; the first seen stay, which holds the frequent ones.
 CACHE = 200_000
@@ -50,8 +50,9 @@ class TextEncoder:
     A text is cut before each single space between two characters that are no spaces: the byte-level pattern always
     begins a token there and no merge crosses it, so the ids of the chunks joined are the ids of the text. In the same
     way a chunk of letters and then marks is its letters and its marks. Chunks of Latin letters and ASCII go through
-    the vocabulary read as merge ranks, which is several times faster and gives the same ids; all others, and all of a
-    tokenizer that is not plain byte-level, through the tokenizer itself.
+    the vocabulary read as merge ranks, which is several times faster and gives the same ids; all others, whole texts
+    that hold an added token (such as an end-of-text mark, which is one id), and all of a tokenizer that is not plain
+    byte-level go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -61,8 +62,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         pre = spec["pre_tokenizer"] or {}
         self.plain = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         if self.plain:
@@ -85,7 +87,7 @@ class TextEncoder:
         return self._piece(" " + tail)
 
     def encode(self, text: str) -> bytes:
-        if not self.plain:
+        if not self.plain or (self.added and self.added.search(text)):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
             head, *rest = _BEFORE_WORD.split(text)
@@ -133,6 +135,72 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, size: int = 2048, en
     return documents.select("doc_id", text_column().alias("text")).mapInArrow(tidy(run), _PIECES)
 
 
+class SumIndex:
+    """Which lengths can still be had, and by their sum the singles, pairs and triples of them.
+
+    Counts only fall, so what can't be had once is never looked at again: a table's entry goes when a length of it has
+    run out. Pairs and triples of a sum are listed when that sum is first asked for, by their largest length, longest
+    first; a triple is its largest length and a pair of the rest.
+    """
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.free = np.zeros(size + 1, np.int64)
+        for n, c in counts.items():
+            self.free[n] = c
+        self._pairs: dict[int, list[int]] = {}
+        self._triples: dict[int, list[int]] = {}
+
+    def _listed(self, table: dict[int, list[int]], total: int, least: int) -> list[int]:
+        """The lengths from `least` on that may lead a combination of this sum; those that have run out are dropped."""
+        if total not in table:
+            table[total] = np.flatnonzero(self.free[least:total])[::-1] + least
+        left = table[total] = table[total][self.free[table[total]] > 0]
+        return left
+
+    def has(self, extra: tuple[int, ...], beside: tuple[int, ...] = ()) -> bool:
+        whole = beside + extra
+        return all(self.free[n] >= whole.count(n) for n in set(extra))
+
+    def pair(self, total: int, beside: tuple[int, ...], most: int) -> tuple[int, int] | None:
+        """The pair of this sum with the longest first length, `most` at most, that can be had besides."""
+        lead = self._listed(self._pairs, total, (total + 1) // 2)
+        for a in lead[(lead <= most) & (self.free[total - lead] > 0)]:
+            if self.has((int(a), int(total - a)), beside):
+                return int(a), int(total - a)
+        return None
+
+    def triple(self, total: int, beside: tuple[int, ...]) -> tuple[int, int, int] | None:
+        for a in self._listed(self._triples, total, -(-total // 3)):
+            a = int(a)
+            if total - a >= 2 and self.has((a,), beside):
+                rest = self.pair(total - a, (*beside, a), a)
+                if rest is not None:
+                    return a, *rest
+        return None
+
+    def complement(self, total: int, beside: tuple[int, ...]) -> tuple[int, ...] | None:
+        """One, two or three lengths that make up this sum and can be had beside those of a sequence."""
+        if self.has((total,), beside):
+            return (total,)
+        return self.pair(total, beside, total) or self.triple(total, beside)
+
+    def longest(self, most: int, beside: tuple[int, ...]) -> int | None:
+        """The longest length of at most `most` that can be had beside those of a sequence."""
+        left = self.free[: most + 1].copy()
+        for n in beside:
+            if n <= most:
+                left[n] -= 1
+        fits = np.flatnonzero(left > 0)
+        return int(fits[-1]) if len(fits) else None
+
+    def often(self, pattern: tuple[int, ...]) -> int:
+        return min(int(self.free[n]) // pattern.count(n) for n in set(pattern))
+
+    def take(self, pattern: tuple[int, ...], times: int) -> None:
+        for n in pattern:
+            self.free[n] -= times
+
+
 def plan_packing(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, number of such sequences), from counts by length.
 
@@ -140,64 +208,27 @@ def plan_packing(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...
     lengths; an exact complement is taken as often as all its counts allow. Lengths without one are packed best-fit:
     each opens a sequence, which takes the longest length that fits, with complements tried again, until none fits.
     """
-    left = {n: c for n, c in counts.items() if c > 0}
     plan: list[tuple[tuple[int, ...], int]] = []
-    free = np.zeros(size + 1, np.int64)
-    for n, c in left.items():
-        free[n] = c
+    index = SumIndex({n: c for n, c in counts.items() if c > 0}, size)
 
     def take(pattern: tuple[int, ...], times: int) -> None:
         plan.append((pattern, times))
-        for n in pattern:
-            free[n] -= times
-
-    def often(pattern: tuple[int, ...]) -> int:
-        return min(int(free[n]) // pattern.count(n) for n in set(pattern))
-
-    def complement(base: tuple[int, ...], gap: int) -> tuple[int, ...] | None:
-        """The longest-first exact filling of the gap with one, two or three lengths that can be had beside base."""
-        def has(extra: tuple[int, ...]) -> bool:
-            whole = base + extra
-            return all(free[n] >= whole.count(n) for n in set(extra))
-
-        if has((gap,)):
-            return (gap,)
-        have = np.flatnonzero(free[: gap + 1])
-        pairs = index_pairs(have, gap)
-        for a, b in pairs:
-            if has((a, b)):
-                return (a, b)
-        for a in have[::-1]:  # the third of a triple: the rest of it is a pair
-            rest = gap - int(a)
-            if rest >= 2 and a >= rest // 2:
-                for b, c in index_pairs(have[have <= a], rest):
-                    if has((int(a), b, c)):
-                        return (int(a), b, c)
-        return None
+        index.take(pattern, times)
 
-    def index_pairs(have: np.ndarray, total: int) -> list[tuple[int, int]]:
-        big = have[(have * 2 >= total) & (have < total)][::-1]
-        return [(int(x), int(total - x)) for x in big if free[total - x] > 0][:8]
-
-    if free[size]:
-        take((size,), int(free[size]))
+    if index.free[size]:
+        take((size,), int(index.free[size]))
     for n in range(size - 1, 0, -1):
-        while free[n] > 0:
-            found = complement((n,), size - n)
-            if found is not None:
-                pattern = (n, *found)
-                take(pattern, often(pattern))
-                continue
+        while index.free[n] > 0:
             pattern, gap = (n,), size - n
             while gap:
-                fits = [int(m) for m in np.flatnonzero(free[: gap + 1])[::-1][:64] if free[m] > pattern.count(int(m))]
-                if not fits:
-                    break
-                pattern, gap = (*pattern, fits[0]), gap - fits[0]
-                more = complement(pattern, gap) if gap else None
+                more = index.complement(gap, pattern)
                 if more is not None:
                     pattern, gap = (*pattern, *more), 0
-            take(pattern, often(pattern))
+                elif (fit := index.longest(gap, pattern)) is not None:
+                    pattern, gap = (*pattern, fit), gap - fit
+                else:
+                    break
+            take(pattern, index.often(pattern))
     return plan
 
 
@@ -224,30 +255,30 @@ class Slots:
 
 
 def pack_pieces(pieces: DataFrame, size: int = 2048) -> DataFrame:
-    """pieces with sequence_id and offset. The driver sees counts by length, and counts by length and task: at most
-    `size` numbers for each task."""
+    """pieces with sequence_id and offset. What reaches the driver is one count for each length, `size` of them at most;
+    counts by length and task, from which pieces are numbered, stay a table."""
     spark: SparkSession = pieces.sparkSession
     arrow_limits(spark)
-    order = ["length", "mix", "doc_id", "piece", "start", "ids_crc32"]
-    ranked = pieces.withColumn("mix", F.xxhash64("doc_id", "piece")).repartitionByRange(*order[:4]).sortWithinPartitions(*order).withColumn("task", F.spark_partition_id())
-    ranked = materialize(ranked.select("task", *pieces.columns, "mix"), "pieces")
-    seen = [(r.task, r.length, r.n) for r in ranked.groupBy("task", "length").agg(F.count("*").alias("n")).collect()]
-    counts: dict[int, int] = defaultdict(int)
-    base: dict[tuple[int, int], int] = {}
-    for task, length, n in sorted(seen):
-        base[task, length] = counts[length]
-        counts[length] += n
-    slots = spark.sparkContext.broadcast((Slots(plan_packing(counts, size)), base))
     names = pieces.columns
+    task, mixed, start = (fresh(names, n) for n in ("task", "mix", "from"))
+    order = ["length", mixed, "doc_id", "piece", "start", "ids_crc32"]
+    ranked = pieces.withColumn(mixed, F.xxhash64("doc_id", "piece")).repartitionByRange(*order[:4]).sortWithinPartitions(*order).withColumn(task, F.spark_partition_id())
+    ranked = materialize(ranked, "pieces")
+    counted = materialize(ranked.groupBy(task, "length").agg(F.count("*").alias("n")), "piece-counts")
+    before = Window.partitionBy("length").orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counted.select(task, "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    counts = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
+    slots = spark.sparkContext.broadcast(Slots(plan_packing(counts, size)))
+
     # A written part may be read by several tasks or with others: the rows of a (task, length) are numbered by group.
     def run(key: tuple, batch: pa.Table) -> pa.Table:
-        plan, start = slots.value
-        task, length = (int(k.as_py()) for k in key)
-        batch = batch.sort_by([("mix", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        seq, off = plan.place(length, start[task, length] + np.arange(batch.num_rows))
+        batch = batch.sort_by([(n, "ascending") for n in (mixed, "doc_id", "piece", "start", "ids_crc32")])
+        first = batch.column(start)[0].as_py()
+        seq, off = slots.value.place(int(key[1].as_py()), first + np.arange(batch.num_rows))
         return batch.select(names).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
-    return ranked.groupBy("task", "length").applyInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    numbered = ranked.join(firsts, [task, "length"])
+    return numbered.groupBy(task, "length").applyInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -301,9 +302,8 @@ def test_packing(spark):
 
     path = public.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(9)
-    texts = ["it's  two   blanks\n\n\tand 12 tabs é日本 　x", " lead", "trail ", "<|endoftext|> a", "don't!! $$$ x%%%", "a\xa0b c"]
+    texts = ["it's  two   blanks\n\n\tand 12 tabs é日本 　x", " lead", "trail ", "<|endoftext|> a", "a <|endoftext|> b", "don't!! $$$ x%%%", "a\xa0b c"]
     rows = odd([(i, t) for i, t in enumerate(texts)] + [(100 + i, " ".join(rng.choices(["alpha", "Béta,", "gamma.\nx", "d!"], k=rng.randint(1, 4000)))) for i in range(40)])
     got = packing.pack_documents(frame(spark, rows), path).collect()
     by_doc: dict = {}
@@ -338,3 +338,39 @@ def test_plan_uses_exact_complements():
         for n in pattern:
             used[n] = used.get(n, 0) + times
     assert used == {7: 2, 3: 2, 5: 3, 2: 1, 1: 1}
+
+
+def plain_complement(free, total, beside):
+    lengths = [n for n, c in free.items() if c > 0 and n <= total]
+    for k in (1, 2, 3):
+        for extra in sorted(itertools.combinations_with_replacement(sorted(lengths, reverse=True), k), reverse=True):
+            if sum(extra) == total and all(free[n] >= (beside + extra).count(n) for n in extra):
+                return extra
+    return None
+
+
+def test_sum_index_finds_every_complement():
+    rng = random.Random(2)
+    for _ in range(150):
+        free = {n: rng.randint(1, 3) for n in rng.sample(range(1, 30), rng.randint(1, 12))}
+        index = packing.SumIndex(free, 40)
+        for _ in range(6):
+            total, beside = rng.randint(1, 40), tuple(rng.choices(sorted(free), k=rng.randint(0, 4)))
+            assert index.complement(total, beside) == plain_complement(free, total, beside)
+            spent = rng.choice(sorted(free))
+            if free[spent]:
+                free[spent] -= 1
+                index.take((spent,), 1)
+
+
+def test_plan_of_many_lengths_reaches_the_lower_bound():
+    rng = np.random.default_rng(6)
+    n, c = np.unique(np.clip(rng.lognormal(5.5, 1, 100_000).astype(int), 1, 2048), return_counts=True)
+    counts = dict(zip(n.tolist(), c.tolist(), strict=True))
+    plan = packing.plan_packing(counts, 2048)
+    assert sum(t for _, t in plan) <= -(-int((n * c).sum()) // 2048) + 1
+    used = np.zeros(2049, int)
+    for pattern, times in plan:
+        assert sum(pattern) <= 2048
+        np.add.at(used, list(pattern), times)
+    assert all(used[k] == v for k, v in counts.items()) and used.sum() == 100_000
