@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORD, arrow_limits, crc_mod, lower_table, mix, run_hashes, text_blocks, text_column, tidy, words_of
+from spanloom.llm.common import BLOCK_BYTES, WORD, arrow_limits, crc_mod, fresh, lower_table, mix, run_hashes, text_blocks, text_column, tidy, words_of
 
 #: Byte classes: (class, bytes); bytes of no class are class 0, other control bytes.
 _CLASSES = [(1, b" "), (2, b"\n\t\r"), (3, bytes(range(97, 123))), (4, bytes(range(65, 91))), (5, b"0123456789"), (6, b"."), (7, b","), (8, b"!?"), (9, b"|"), (10, b"#$%&*@^~=+_"), (11, b"\"'()[]{}-:;`"), (12, b"<>/\\"), (13, bytes(range(0xC0, 0x100))), (14, bytes(range(0x80, 0xC0)))]
@@ -28,42 +28,59 @@ _RUNS = (1, 2, 4)
 WIDTH = K + K * K + len(_RUNS) + 3
 
 
-def text_features(column: pa.Array) -> np.ndarray:
+def text_features(column: pa.Array, limit: int = BLOCK_BYTES) -> np.ndarray:
     """One row of statistics for each text: shares of byte classes and of their pairs, repeated words and word runs,
-    word and text length. All bytes count, a long text in pieces whose counts are added."""
+    word and text length. All bytes count. A text of over `limit` bytes is read in pieces, and its last byte, its last words and the
+    runs it has had are carried from piece to piece, so that its row is that of the whole text."""
     n = len(column)
     uni, pair = np.zeros((n, K)), np.zeros((n, K * K))
     again, seen = np.zeros((n, len(_RUNS))), np.zeros((n, len(_RUNS)))
     n_words, n_bytes, stutter = np.zeros(n), np.zeros(n), np.zeros(n)
     lower = lower_table()
-    for docs, data, off in text_blocks(column):
+    open_doc, last_class, last_words = -1, 0, np.zeros(0, np.uint64)  # of the text that the last piece is of
+    had = [np.zeros(0, np.uint64) for _ in _RUNS]
+    for docs, data, off in text_blocks(column, limit):
         size = np.diff(off)
         np.add.at(n_bytes, docs, size)
         m = len(docs)
+        goes_on = docs[0] == open_doc
         piece = np.repeat(np.arange(m), size)
         c = CLASS[data].astype(np.int64)
         np.add.at(uni, docs, np.bincount(piece * K + c, minlength=m * K).reshape(m, K))
         if len(c) > 1:
             two = (piece[:-1] * (K * K) + c[:-1] * K + c[1:])[piece[:-1] == piece[1:]]
             np.add.at(pair, docs, np.bincount(two, minlength=m * K * K).reshape(m, K * K))
+        if goes_on and len(c):
+            pair[docs[0], last_class * K + c[0]] += 1
         w, s, e = words_of(data, off, WORD)
         h = run_hashes(lower[data], s, e)
         np.add.at(n_words, docs, np.bincount(w, minlength=m))
+        old = len(last_words) if goes_on else 0  # words of earlier pieces: no run ends in them
+        if old:
+            h, w = np.concatenate([last_words, h]), np.concatenate([np.zeros(old, w.dtype), w])
+        next_had = [np.zeros(0, np.uint64) for _ in _RUNS]
         for j, k in enumerate(_RUNS):
-            if len(h) < k:
-                continue
-            run = h[k - 1 :].copy()
-            for i in range(1, k):
-                run = mix(run) + h[k - 1 - i : len(h) - i]
-            at = w[k - 1 :]
-            keep = w[: len(w) - k + 1] == at
-            run, at = run[keep], at[keep]
-            distinct = np.unique(mix(run) ^ mix(at.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-            total = np.bincount(at, minlength=m)
-            np.add.at(seen, (docs, j), total)
-            np.add.at(again, (docs, j), total - np.bincount(at[distinct], minlength=m))
+            if len(h) >= k:
+                run = h[k - 1 :].copy()
+                for i in range(1, k):
+                    run = mix(run) + h[k - 1 - i : len(h) - i]
+                at = w[k - 1 :]
+                keep = (w[: len(w) - k + 1] == at) & (np.arange(len(at)) + k > old)
+                run, at = run[keep], at[keep]
+                distinct = np.unique(mix(run) ^ mix(at.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+                total, new = np.bincount(at, minlength=m), np.bincount(at[distinct], minlength=m)
+                if goes_on:
+                    new[0] -= np.isin(run[distinct][at[distinct] == 0], had[j]).sum()
+                np.add.at(seen, (docs, j), total)
+                np.add.at(again, (docs, j), total - new)
+                next_had[j] = np.unique(run[at == m - 1])
+            if goes_on and m == 1:
+                next_had[j] = np.union1d(had[j], next_had[j])
         if len(h) > 1:
-            np.add.at(stutter, docs, np.bincount(w[1:][(h[1:] == h[:-1]) & (w[1:] == w[:-1])], minlength=m))
+            doubled = (h[1:] == h[:-1]) & (w[1:] == w[:-1]) & (np.arange(1, len(h)) >= old)
+            np.add.at(stutter, docs, np.bincount(w[1:][doubled], minlength=m))
+        had, last_words = next_had, h[w == m - 1][-(max(_RUNS) - 1) :]
+        open_doc, last_class = docs[-1], int(c[-1]) if len(c) else 0
     some, ws = np.maximum(n_bytes, 1)[:, None], np.maximum(n_words, 1)
     return np.concatenate([np.sqrt(uni / some), np.sqrt(pair / some), again / np.maximum(seen, 1), (stutter / ws)[:, None], np.log1p(n_bytes / ws)[:, None] / 4, np.log1p(n_words)[:, None] / 10], axis=1).astype(np.float32)
 
@@ -156,14 +173,13 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7, epochs:
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = 3000, folds: int = 3, held_out: int = 1) -> Model:
-    """Fit on at most `sample` trusted positives and `sample` unlabelled rows, both outside the held-out fold and chosen
-    by a hash of doc_id. The sample bounds what reaches the driver; ids are chosen from the id columns alone."""
+    """Fit on at most `sample` trusted positives and `sample` unlabelled texts, both outside the held-out fold and chosen
+    by a hash of doc_id, one text of each id. The sample bounds what reaches the driver: one row of statistics each."""
     arrow_limits(documents.sparkSession)
-    order = F.xxhash64("doc_id")
     outside = (crc_mod("doc_id", folds) != held_out) & F.col("doc_id").isNotNull()
-    p = labels.where(outside & (F.col("quality") == 1)).select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).select("doc_id", F.lit(1).alias("kind"))
-    u = documents.where(outside).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample).select("doc_id", F.lit(0).alias("kind"))
-    ids = F.broadcast(p.unionByName(u))  # at most 2 * sample rows
+    p = labels.where(outside & (F.col("quality") == 1)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("kind", F.lit(1))
+    u = documents.where(outside).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample).withColumn("kind", F.lit(0))
+    ids = F.broadcast(p.unionByName(u))  # at most 2 * sample rows, each with an id of its own kind
     rows = documents.select("doc_id", text_column().alias("text")).join(ids, "doc_id").select("doc_id", "kind", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,25 +187,27 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = 3000, fol
             x = text_features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("kind"), pa.array(x.astype("<f4").tobytes()[i * 4 * WIDTH : (i + 1) * 4 * WIDTH] for i in range(len(x)))], ["doc_id", "kind", "x"])
 
-    got = rows.mapInArrow(tidy(featurise), "doc_id long, kind int, x binary").toPandas().sort_values(["kind", "doc_id", "x"])
+    got = rows.mapInArrow(tidy(featurise), "doc_id long, kind int, x binary")
+    # of the rows that share an id one counts, the one with the least statistics: no more than the sample is collected
+    got = got.groupBy("doc_id", "kind").agg(F.min("x").alias("x")).toPandas().sort_values(["kind", "doc_id"])
     parts = [np.frombuffer(b"".join(got.x[got.kind == k]), "<f4").reshape(-1, WIDTH) for k in (1, 0)]
     return fit_pu(*parts)
 
 
-def score_quality(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with `quality_score`, 0 to 1, of the whole text (null: empty). Other columns stay; a column of that
+def score_quality(documents: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
+    """documents with the score, 0 to 1, of the whole text (null: empty) in `column`. All other columns stay; one of that
     name is replaced. One map, no shuffle."""
     spark: SparkSession = documents.sparkSession
     arrow_limits(spark)
     shared = spark.sparkContext.broadcast(model)  # of fixed size
-    rest = documents.drop("quality_score")
+    rest = documents.drop(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = pa.array(shared.value.score(text_features(b.column(b.num_columns - 1))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], score], [*b.schema.names[:-1], "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], score], [*b.schema.names[:-1], column])
 
-    return rest.withColumn("__whole_text", text_column()).mapInArrow(tidy(run), rest.schema.add("quality_score", "double"))
+    return rest.withColumn(fresh(rest.columns, "whole_text"), text_column()).mapInArrow(tidy(run), rest.schema.add(column, "double"))
 
 
 def classify_quality(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, **bounds) -> DataFrame:

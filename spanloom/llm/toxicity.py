@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import LOWER, WORD, arrow_limits, crc_mod, mix, run_hashes, text_blocks, text_column, tidy, words_of
+from spanloom.llm.common import BLOCK_BYTES, LOWER, WORD, arrow_limits, crc_mod, fresh, mix, run_hashes, string_buffer, text_column, tidy, words_of
 
 WINDOW, STRIDE = 48, 24
 #: Sizes of the word vector, the character vector, the recurrent state of one direction, and the n-gram table.
@@ -81,6 +81,32 @@ def windows_of(piece: np.ndarray, n_pieces: int) -> tuple[np.ndarray, np.ndarray
     return owner, base[owner] + start, np.minimum(count[owner], WINDOW)
 
 
+def window_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole texts as (document of each piece, bytes, piece offsets), at most about `limit` bytes at a time, so that the
+    windows of all pieces are those of the whole texts: a text of over `limit` bytes is cut where a window begins, and each
+    piece reads on to the end of the windows that begin in it."""
+    raw, off = string_buffer(column)
+    size = np.diff(off)
+    short = np.flatnonzero(size <= limit)
+    for group in np.split(short, np.flatnonzero(np.diff(np.cumsum(size[short]) // limit)) + 1) if len(short) else []:
+        data = np.concatenate([raw[off[i] : off[i + 1]] for i in group])
+        yield group, data, np.concatenate(([0], np.cumsum(size[group])))
+    for i in np.flatnonzero(size > limit):
+        data = raw[off[i] : off[i + 1]]
+        _, s, e = words_of(data, np.array([0, len(data)]))
+        a = 0
+        while True:
+            fit = np.searchsorted(s, s[a] + limit) - a if len(s) else 0  # words that begin within `limit` bytes
+            b = a + max(fit // STRIDE, 1) * STRIDE  # windows that begin at words a to b - 1
+            last = b + WINDOW >= len(s)
+            stop = len(s) if last else b + WINDOW - STRIDE
+            part = data[s[a] : e[stop - 1]] if len(s) else data[:0]
+            yield np.array([i]), part, np.array([0, len(part)], np.int64)
+            if last:
+                break
+            a = b
+
+
 class Network:
     """Parameters of fixed size; `vocab` are sorted hashes of the words with vectors of their own."""
 
@@ -152,10 +178,10 @@ class Network:
                 out[rows] = self.run(proj, ids, None if whole else mask)
         return out
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        """The score of each text, all windows of all its pieces read; 0 for a text without words."""
+    def scores(self, column: pa.Array, limit: int = BLOCK_BYTES) -> np.ndarray:
+        """The score of each text, all its windows read, whatever the `limit` of a block; 0 for a text without words."""
         best = np.full(len(column), -np.inf)
-        for docs, data, off in text_blocks(column):
+        for docs, data, off in window_blocks(column, limit):
             w = read_words(data, off)
             owner, starts, lengths = windows_of(w.piece, len(docs))
             if len(starts):
@@ -301,30 +327,32 @@ def _subset(w: Words, starts: np.ndarray, lengths: np.ndarray) -> tuple[Words, n
     return Words(w.hashes[used], w.grams[flat], begin, w.ids[:0], w.piece[:0]), inverse.reshape(ids.shape), mask
 
 
-def train_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 600, folds: int = 5, held_out: int = 0, **how) -> Network:
+def train_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 600, sample_bytes: int = 1 << 16, folds: int = 5, held_out: int = 0, **how) -> Network:
     """Fit on at most `sample` toxic and `sample` other labelled texts outside the held-out fold, chosen by a hash of
-    doc_id; the bound holds what reaches the driver."""
+    doc_id, one text of each id. Texts of over `sample_bytes` bytes are no training texts; so the driver gets 2 * sample *
+    sample_bytes bytes at most. A text that is labelled twice is toxic if either label says so."""
     known = labels.where((crc_mod("doc_id", folds) != held_out) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
-    got = documents.select("doc_id", text_column().alias("text")).join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "text"])  # at most 2 * sample ids
+    rows = documents.select("doc_id", text_column().alias("text")).where(F.octet_length("text") <= sample_bytes).join(F.broadcast(ids), "doc_id")  # at most 2 * sample ids
+    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     return fit_toxicity(list(got["text"]), got["toxic"].to_numpy(np.float64), prevalence=share, **how)
 
 
-def score_toxicity(documents: DataFrame, network: Network) -> DataFrame:
-    """documents with `toxicity_score`, 0 to 1, over all windows of the whole text (null: empty). Other columns stay; a
-    column of that name is replaced. One map, no shuffle."""
+def score_toxicity(documents: DataFrame, network: Network, column: str = "toxicity_score") -> DataFrame:
+    """documents with the score, 0 to 1, over all windows of the whole text (null: empty) in `column`. All other columns
+    stay; one of that name is replaced. One map, no shuffle."""
     spark = documents.sparkSession
     arrow_limits(spark)
     shared = spark.sparkContext.broadcast(network)  # of fixed size
-    rest = documents.drop("toxicity_score")
+    rest = documents.drop(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.scores(b.column(b.num_columns - 1)))], [*b.schema.names[:-1], "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.scores(b.column(b.num_columns - 1)))], [*b.schema.names[:-1], column])
 
-    return rest.withColumn("__whole_text", text_column()).mapInArrow(tidy(run), rest.schema.add("toxicity_score", "double"))
+    return rest.withColumn(fresh(rest.columns, "whole_text"), text_column()).mapInArrow(tidy(run), rest.schema.add(column, "double"))
 
 
 def classify_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, **how) -> DataFrame:

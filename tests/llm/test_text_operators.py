@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,103 @@ def test_quality_and_toxicity_score_all_rows(spark):
         assert [r.held_out for r in got if r.doc_id is None] == [False]
 
 
+def plain_statistics(text):
+    """The row of statistics of one text, by loops over its bytes and words."""
+    data = text.encode()
+    cls = [int(quality.CLASS[b]) for b in data]
+    uni = [cls.count(k) / max(len(data), 1) for k in range(quality.K)]
+    pairs = Counter(zip(cls, cls[1:], strict=False))
+    pair = [pairs[a, b] / max(len(data), 1) for a in range(quality.K) for b in range(quality.K)]
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", data.lower())
+    runs = [list(zip(*(words[i:] for i in range(k)), strict=False)) for k in (1, 2, 4)]
+    again = [(len(r) - len(set(r))) / max(len(r), 1) for r in runs]
+    n = max(len(words), 1)
+    stutter = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+    return np.array([*np.sqrt(uni), *np.sqrt(pair), *again, stutter, np.log1p(len(data) / n) / 4, np.log1p(len(words)) / 10])
+
+
+def mixed_texts():
+    rng = random.Random(11)
+    some = lambda n: " ".join(rng.choice(["alpha", "Beta,", "é9", "x\n", "99", "y y"]) for _ in range(n))
+    passage = some(300)
+    return ["", "one", some(20), f"{passage} {passage}", some(3), "z" * 500 + " tail", some(2000), "...!!!", some(48), some(49)]
+
+
+@pytest.mark.parametrize("limit", [64, 700, 1 << 20])
+def test_quality_statistics_are_those_of_the_whole_text(limit):
+    texts = mixed_texts()
+    got = quality.text_features(pa.array(texts), limit)
+    assert np.allclose(got, [plain_statistics(t) for t in texts], atol=1e-6)
+
+
+def plain_toxicity(net, text):
+    """The score of one text, word by word and window by window."""
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode().lower())
+    if not words:
+        return 0.0
+    n = len(words)
+    starts = sorted({*range(0, max(n - 48, 0), 24), max(n - 48, 0)})
+    return float(max(toxicity.sigmoid(plain_window(net, words[a : a + 48])) for a in starts))
+
+
+def plain_window(net, words):
+    p, x = {k: v.astype(np.float64) for k, v in net.p.items()}, []
+    for word in words:
+        w = toxicity.read_words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        char = np.max([p["char"][g] for g in w.grams], axis=0)
+        x.append(np.concatenate([p["word"][net.word_ids(w.hashes)[0]], char]))
+    states = []
+    for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h, out, n = np.zeros(toxicity.H), {}, toxicity.H
+        for i in order:
+            a = x[i] @ p[f"x{side}"] + p[f"c{side}"]
+            gate = toxicity.sigmoid(a[: 2 * n] + h @ p[f"h{side}"][:, : 2 * n])
+            c = np.tanh(a[2 * n :] + (gate[n:] * h) @ p[f"h{side}"][:, 2 * n :])
+            h = out[i] = (1 - gate[:n]) * h + gate[:n] * c
+        states.append([out[i] for i in range(len(x))])
+    s = np.concatenate([np.array(v) for v in states], axis=1)
+    e = np.tanh(s @ p["att_w"]) @ p["att_v"]
+    a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return a @ s @ p["out"] + p["bias"][0]
+
+
+@pytest.mark.parametrize("limit", [64, 700, 1 << 20])
+def test_toxicity_scores_are_those_of_the_whole_text(limit):
+    texts = mixed_texts()
+    net = toxicity.fit_toxicity([*texts, "foul words " * 30], np.array([0.0] * len(texts) + [1.0]), epochs=1)
+    got = net.scores(pa.array(texts), limit)
+    assert np.allclose(got, [plain_toxicity(net, t) for t in texts], atol=1e-5)
+
+
+def test_training_makes_the_toxicity_result():
+    """With the word vectors that training starts from, but without training, the network does not tell the texts apart:
+    the same words are toxic in one order and harmless in the other."""
+    rng = random.Random(4)
+    texts, label = [], []
+    for i in range(240):
+        fill = [rng.choice(["calm", "river", "stone", "paper"]) for _ in range(rng.randint(4, 12))]
+        pair = ["you", "bad"] if i % 2 else ["bad", "you"]
+        at = rng.randrange(len(fill))
+        texts.append(" ".join([*fill[:at], *pair, *fill[at:]]))
+        label.append(float(i % 2))
+    y = np.array(label)
+    before = toxicity.fit_toxicity(texts[:160], y[:160], epochs=0).scores(pa.array(texts[160:]))
+    after = toxicity.fit_toxicity(texts[:160], y[:160], epochs=40).scores(pa.array(texts[160:]))
+    right = [float(((s >= 0.5) == y[160:]).mean()) for s in (before, after)]
+    assert right[0] < 0.7 and right[1] > 0.9
+
+
+def test_samples_are_of_ids_not_rows(spark):
+    rows, labels = labelled(spark, 60)
+    many = frame(spark, [*rows, *[(3, rows[3][1])] * 300, *[(3, GOOD + str(i)) for i in range(300)]])
+    twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(6, None, None), (None, 1, 1)], labels.schema))
+    plain = frame(spark, [*rows, (3, GOOD + "0")])
+    a, b = quality.fit_quality(many, twice, sample=40), quality.fit_quality(plain, labels, sample=40)
+    assert a.prior == b.prior or abs(a.prior - b.prior) < 0.2
+    t = toxicity.train_toxicity(many, twice, sample=20)
+    assert len(t.vocab) and toxicity.train_toxicity(many, twice, sample_bytes=10).vocab.size == 0
+
+
 def test_classifiers_without_rows_or_labels(spark):
     _, labels = labelled(spark)
     assert quality.classify_quality(frame(spark, []), labels).count() == 0
