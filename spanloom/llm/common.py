@@ -20,9 +20,11 @@ ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or on a local master without one (tests) a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,6 +43,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """rows joined with the one row that table has for each of their keys; column n of table, which is left out, is how
+    many rows have that key. Keys of more than one in `share` rows, fewer than `share` keys, are broadcast, so that no
+    task gets all rows of such a key; the others are joined by a shuffle. rows is read twice: it should be written."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    often = F.broadcast(table.where(F.col(n) > total / share).drop(n))  # fewer than `share` rows
+    rare = table.where(F.col(n) <= total / share).drop(n)
+    return rows.join(often, keys).unionByName(rows.join(often.select(*keys), keys, "left_anti").join(rare, keys))
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_limits, materialize, text_column, tidy
+from spanloom.llm.common import arrow_limits, lookup, materialize, text_column, tidy
 from spanloom.llm.components import connected_components
 
 _SEED = 42
@@ -226,10 +226,10 @@ def simhash_groups(documents: DataFrame, width: int = 3, radius: int = 2, block:
     0; a null doc_id is never the smallest unless all of its group are null; an empty table gives no rows.
     """
     docs = materialize(fingerprints(documents, width), "fingerprints")
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius, block))
-    linked = roots.join(nodes, F.col("node") == F.col("fp"))
+    linked = roots.join(nodes.drop("n"), F.col("node") == F.col("fp"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = materialize(linked.join(smallest, "root").select("fp", F.col("least").alias("linked")), "components")
-    whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id"))
-    return docs.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("linked", "first").alias("component_id"))
+    return lookup(docs, materialize(whole, "component-ids"), ["fp"], "n").select("doc_id", "fp", "component_id")

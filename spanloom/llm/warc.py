@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import arrow_limits, materialize, scratch_path, tidy
+from spanloom.llm.common import arrow_limits, lookup, materialize, scratch_path, tidy
 
 #: Records nearer than GAP bytes are read together, up to SPAN bytes; an archive is closed after ROLL bytes.
 GAP, SPAN, ROLL = 1 << 16, 8 << 20, 1 << 30
+#: Archive bytes that one task reads, about.
+TASK_BYTES = 64 << 20
 _LINE = re.compile(r"[\x00-\x20\x7f]")
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -77,11 +79,13 @@ def parse_record(member: bytes) -> dict:
 
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages with refers_to: the largest page_id of the rows with this payload, where it is another one and the payload
-    has at least `min_bytes` bytes. Only digests that occur twice are joined; their counts are pre-aggregated."""
+    has at least `min_bytes` bytes. Digests are written once; only those that occur twice are looked up, a common one by
+    broadcast. Where the table of revisits is too large to broadcast, the last join shuffles the payloads once."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"))
-    copies = keyed.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1").drop("n")
-    slim = keyed.select("page_id", "sha").join(copies, "sha").where("page_id is null or page_id <> first").select("page_id", "sha", "first").distinct()
+    digests = materialize(keyed.where(F.octet_length("payload") >= min_bytes).select("page_id", "sha"), "digests")
+    copies = materialize(digests.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1"), "copies")
+    slim = lookup(digests, copies, ["sha"], "n").where("page_id is null or page_id <> first").select("page_id", "sha", "first").distinct()
     slim = materialize(slim, "revisits")
     same = keyed.alias("k").join(slim.alias("s"), F.col("k.page_id").eqNullSafe(F.col("s.page_id")) & (F.col("k.sha") == F.col("s.sha")), "left")
     return same.select("k.page_id", "k.url", "k.payload", F.col("s.first").alias("refers_to"))
@@ -91,7 +95,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     """Write a record for each row of pages (page_id, url, html) into archives in `folder`; returns the index, written.
 
     Null html is an empty payload; a null url an empty target; a null page_id never is the response that others name,
-    unless all of its payload are null. Rows that repeat the largest page_id of a payload are responses all. Every row
+    unless all of its payload are null. Rows that repeat the largest page_id of a payload are responses all; other
+    rows that repeat a page_id are marked each by its own payload. Other columns are not looked at. Every row
     has a record; an empty table has an empty index.
     """
     arrow_limits(pages.sparkSession)
@@ -144,11 +149,14 @@ def coalesce_ranges(ranges: list[tuple[int, int]], gap: int = GAP, span: int = S
     return [tuple(r) for r in reads]
 
 
-def read_records(index: DataFrame, folder: str, gap: int = GAP, span: int = SPAN, payloads: bool = True) -> DataFrame:
+def read_records(index: DataFrame, folder: str, gap: int = GAP, span: int = SPAN, payloads: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
     """The records of the selected index rows, read and parsed; each payload is checked against its digest. Without
-    `payloads` that column is null."""
+    `payloads` that column is null. Index rows are dealt by stretches of `task_bytes` bytes of an archive, so tasks follow
+    the size of the archives, not of the index."""
     arrow_limits(index.sparkSession)
-    sorted_rows = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    rows = index.select("archive", "offset", "length", F.floor(F.col("offset") / task_bytes).alias("stretch"))
+    stretches = rows.select("archive", "stretch").distinct().count()
+    sorted_rows = rows.repartition(max(2 * stretches, 1), "archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)

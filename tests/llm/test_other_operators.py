@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spanloom.llm import ann, chat, warc
-from spanloom.llm.common import scratch_path
+from spanloom.llm.common import lookup, scratch_path
 
 
 @settings(max_examples=200, deadline=None)
@@ -59,6 +59,28 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages.where("page_id > 99")).count() == 0
 
 
+def test_warc_tasks_follow_archive_bytes_and_repeated_ids(spark):
+    pages = spark.createDataFrame([(i % 150, "u", f"{i % 40}" * 400, i) for i in range(400)], "page_id long, url string, html string, refers_to int")
+    folder = scratch_path(spark, "test-warc")
+    index = warc.write_archives(pages, folder)
+    got = warc.read_records(index, folder, task_bytes=500)
+    assert got.rdd.getNumPartitions() > 20 and got.count() == 400
+    first = {}
+    for i in range(400):
+        first[i % 40] = max(first.get(i % 40, -1), i % 150)
+    want = [(i % 150, None if first[i % 40] == i % 150 else first[i % 40]) for i in range(400)]
+    assert sorted(str((r.page_id, r.refers_to)) for r in got.collect()) == sorted(map(str, want))
+
+
+def test_lookup_spreads_common_keys(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k long, v long")
+    table = rows.groupBy("k").agg({"v": "max", "*": "count"}).toDF("k", "top", "n")
+    for share in (1, 10, 10_000):
+        got = lookup(rows, table, ["k"], "n", share)
+        assert got.columns == ["k", "v", "top"] and got.count() == 300
+        assert {r.k: r.top for r in got.collect()} == {r.k: r.top for r in table.collect()}
+
+
 def test_ranges_are_joined():
     assert warc.coalesce_ranges([(0, 10), (10, 5), (40, 5), (1000, 1)], gap=30, span=100) == [(0, 45, [(0, 10), (10, 5), (40, 5)]), (1000, 1001, [(1000, 1)])]
 
