@@ -313,16 +313,14 @@ def test_components_of_a_long_chain(spark):
 
 
 def infix_distance(item, text):
-    best = len(item)
-    for s in range(len(text) + 1):
-        row = list(range(len(text) - s + 1))
-        for k, x in enumerate(item):
-            new = [k + 1]
-            for j in range(1, len(row)):
-                new.append(min(row[j - 1] + (text[s + j - 1] != x), row[j] + 1, new[-1] + 1))
-            row = new
-        best = min(best, *row)
-    return best
+    """The least edit distance of the item to any part of the text."""
+    row = [0] * (len(text) + 1)
+    for k, x in enumerate(item):
+        new = [k + 1]
+        for j in range(1, len(row)):
+            new.append(min(row[j - 1] + (text[j - 1] != x), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
 
 
 def test_decontamination_against_brute_force(spark):
