@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AGGRESSIVE = "([A-Z]*[a-z]+|[A-Z]+|[0-9]+|\\S)"
+# Patterns of a word's shape, in order, and of its yes/no features.
 SHAPES = [("[0-9]+", "0"), ("[a-z][a-z]+", "1"), ("[a-z]", "2"), ("[A-Z][A-Z]+", "3"), ("[A-Z]", "4")]
 #: Yes/no features of a token, in the order of their names.
 FLAGS = {
@@ -84,6 +85,11 @@ def suffixes(c: Column) -> Column:
     return F.array(F.concat(F.lit("suf3="), F.right(c, F.lit(3))), F.concat(F.lit("suf2="), F.right(c, F.lit(2))))
 
 
+def direct_features(c: Column) -> Column:
+    """Shape and suffixes, of which the commonest go to the network as they are."""
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("ws="), shape(c))), suffixes(c)))
+
+
 def features(c: Column) -> Column:
     """All named features of a token: shape, character n-grams, and the flags that hold."""
     held = F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(f"re={n}")) for n, p in FLAGS.items()]))
@@ -144,3 +150,8 @@ def next_word(text: Column, end: Column) -> Column:
     at = F.instr(tail, " ")
     word = F.element_at(F.split(F.substr(tail, at + 1), " "), 1)
     return F.when((at > 0) & (at + 1 < F.char_length(tail)), F.regexp_replace(word, "[,.!?;: ]$", ""))
+
+
+def narrow(c: Column) -> Column:
+    """The text with code points over 255 as question marks."""
+    return F.regexp_replace(c, "[^\\x{00}-\\x{FF}]", "?")

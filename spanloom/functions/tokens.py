@@ -39,6 +39,32 @@ def split_at(c: Column, *cuts: Column) -> Column:
     return F.array(*[F.substr(c, a + 1, b - a) for a, b in zip(bounds, bounds[1:], strict=False)])
 
 
+def accepted(parts: Column) -> Column:
+    """The parts that have text, where these are two or more; else null, and the token stays whole."""
+    some = F.filter(parts, lambda p: p != "")
+    return F.when(F.size(some) > 1, some)
+
+
+def comma_index(c: Column) -> Column:
+    """The last comma with no hyphen right behind it and no hyphen or opening bracket before it; -1 if there is none."""
+    pattern = "^([^-\\[(]+),[^-]"
+    return F.when(c.rlike(pattern), F.char_length(F.regexp_extract(c, pattern, 1))).otherwise(-1)
+
+
+def forced_tokens(df: DataFrame, text: str, offsets: str, *key: str) -> DataFrame:
+    """A row for each blank-separated token: the key columns, id, cuts (where its parts begin) and parts, cut at the
+    offsets (array, ascending) that lie within the token. Ends are running lengths, as in with_fine_tokens."""
+    rows = df.select(*key, offsets, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("\\s*\\S+"), 0)).alias("id", "piece"))
+    end = F.sum(F.char_length("piece")).over(Window.partitionBy(*key).orderBy("id"))
+    value = F.regexp_replace("piece", "^\\s+", "")
+    placed = rows.select(*key, "id", offsets, value.alias("value"), end.alias("end")).withColumn("start", F.col("end") - F.char_length("value"))
+    cuts = F.concat(F.array("start"), F.filter(offsets, lambda o: (o > F.col("start")) & (o < F.col("end"))), F.array("end"))
+    placed = placed.withColumn("bounds", cuts)
+    part = lambda i: F.substr("value", (F.get("bounds", i) - F.col("start") + 1).cast("int"), (F.get("bounds", i + 1) - F.get("bounds", i)).cast("int"))
+    begins = F.slice("bounds", F.lit(1), F.size("bounds") - 1)
+    return placed.select(*key, "id", begins.alias("cuts"), F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), part).alias("parts"))
+
+
 def ngrams(w: Column, n: int = 4) -> Column:
     """All runs of one to n words, joined by blanks, shorter ones first."""
     none = F.array().cast("array<string>")

@@ -34,19 +34,15 @@ def wrapped(text: str) -> bool:
 
 
 def unmatched(text: str) -> list[int]:
-    """Places of brackets without a partner of their own kind. A closing bracket takes the last opening one only if that
-    is of its kind; otherwise it has no partner."""
+    """Places of the brackets that are left when each closing one takes the bracket before it off the stack, if that is an
+    opening one of its kind; else it stays on the stack itself, and nothing below it can be taken any more."""
     stack: list[int] = []
-    alone: list[int] = []
     for i, c in enumerate(text):
-        if c in OPEN:
+        if c in CLOSE and stack and text[stack[-1]] == PAIRS[c]:
+            stack.pop()
+        elif c in OPEN or c in CLOSE:
             stack.append(i)
-        elif c in CLOSE:
-            if stack and text[stack[-1]] == PAIRS[c]:
-                stack.pop()
-            else:
-                alone.append(i)
-    return sorted(alone + stack)
+    return stack
 
 
 def typed_balanced(text: str) -> bool:

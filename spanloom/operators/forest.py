@@ -52,11 +52,16 @@ def export(spark: SparkSession, model: RandomForestClassificationModel) -> DataF
     return spark.createDataFrame(nodes, "tree int, node int, feature int, threshold double, left int, right int, value double")
 
 
-def score_column(nodes: list[Node], x: Column) -> Column:
-    """The mean leaf value over the trees, as nested conditions; left where the feature is at most the threshold."""
+def _by_tree(nodes: list[Node]) -> dict[int, dict[int, Node]]:
     trees: dict[int, dict[int, Node]] = defaultdict(dict)
     for n in nodes:
         trees[n[0]][n[1]] = n
+    return trees
+
+
+def score_column(nodes: list[Node], x: Column) -> Column:
+    """The mean leaf value over the trees, as nested conditions; left where the feature is at most the threshold."""
+    trees = _by_tree(nodes)
 
     def walk(tree: dict[int, Node], at: int) -> Column:
         _, _, feature, threshold, left, right, value = tree[at]
@@ -65,3 +70,24 @@ def score_column(nodes: list[Node], x: Column) -> Column:
         return F.when(F.get(x, F.lit(feature)) <= threshold, walk(tree, left)).otherwise(walk(tree, right))
 
     return sum((walk(t, 0) for t in trees.values()), F.lit(0.0)) / len(trees)
+
+
+def score_sql(nodes: list[Node], x: list[str]) -> str:
+    """score_column as SQL over the given expressions."""
+
+    def walk(tree: dict[int, Node], at: int) -> str:
+        _, _, feature, threshold, left, right, value = tree[at]
+        return str(value) if feature == -2 else f"CASE WHEN {x[feature]} <= {threshold} THEN {walk(tree, left)} ELSE {walk(tree, right)} END"
+
+    trees = _by_tree(nodes)
+    return f"(0.0 + {' + '.join(walk(t, 0) for t in trees.values())}) / {len(trees)}"
+
+
+def leaf_columns(nodes: list[Node], x: Column) -> Column:
+    """For each tree, in order, the number of the leaf that the features end in."""
+
+    def walk(tree: dict[int, Node], at: int) -> Column:
+        _, _, feature, threshold, left, right, _ = tree[at]
+        return F.lit(at) if feature == -2 else F.when(F.get(x, F.lit(feature)) <= threshold, walk(tree, left)).otherwise(walk(tree, right))
+
+    return F.array(*[walk(t, 0) for _, t in sorted(_by_tree(nodes).items())])

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanloom.operators.brackets import CLOSE, OPEN, PAIRS, balanced, repair, unmatched
+from spanloom.operators.brackets import CLOSE, OPEN, PAIRS, repair, typed_balanced, unmatched
 
 Span = tuple[int, int]
 Spans = set[Span]
@@ -20,6 +20,7 @@ MARKS = ",.!?;:"
 # Words before and behind a span that belong to it.
 BEFORE = re.compile("glacial|cyclic|hydrate|amino", re.I)
 BEHIND = re.compile("acid|isomer|ether|ester", re.I)
+# A code of a lipid.
 _LIPID = re.compile(r"\(?\d+:(?:0\D|[1-9])")
 # Texts that are no names.
 EXCLUDED = "trust|ham$|ow$|[a-wz]y$|hz|echo$|orks?$|burg|guideline|suite|process|^tea$|ic$|coronal|gue$|ion$|tead$|able$|proxy$|gether|hy$|meter|success|watch|threshold|epoxy|determin|risk|intermediate|intern|incubate|debate|subset|\\wtype|scop(?:e|ic|ie)|cop(?:y|ies)$|perform|ics$|^mode|^state|-of-|xy$|water|-based$"
@@ -124,7 +125,7 @@ def close_brackets(text: str, spans: Spans) -> Spans:
         if not fixed:
             continue
         start, end = fixed
-        for i in unmatched(text[start:end]):
+        for i in reversed(unmatched(text[start:end])):
             c = text[fixed[0] + i]
             if c in OPEN:
                 partner = next(k for k, v in PAIRS.items() if v == c)
@@ -139,29 +140,27 @@ def close_brackets(text: str, spans: Spans) -> Spans:
 
 
 def _complete_once(text: str, span: Span) -> list[Span]:
-    start, end = span
-    start = text.rfind(" ", 0, start + 1) + 1 if start < len(text) and text[start] != " " else start
-    stop = text.find(" ", max(end - 1, start))
-    end = end if end > start and text[end - 1] == " " else (stop if stop >= 0 else len(text))
-    if end > start and text[end - 1] in ".,:!?&;=":
-        end -= 1
-    if end > start and text[start] in ".,:!?&;=":
-        start += 1
+    """The span from behind the last blank before it to the first blank behind it, without a mark at either end, and
+    without brackets that enclose balanced text or stand alone at an end of it; cut at colons between letters."""
+    start = text.rfind(" ", 0, span[0]) + 1
+    end = text.find(" ", span[1])
+    end = len(text) if end < 0 else end
+    end -= text[end - 1 : end] in list(".,:!?&;=")
+    start += text[start : start + 1] in list(".,:!?&;=")
     here = text[start:end]
     if not here:
         return []
-    if len(here) > 1 and PAIRS.get(here[-1]) == here[0] and balanced(here[1:-1]):
-        start, end = start + 1, end - 1
-    elif here[0] in OPEN | CLOSE and balanced(here[1:]):
-        start += 1
-    elif here[-1] in OPEN | CLOSE and balanced(here[:-1]):
-        end -= 1
+    if PAIRS.get(here[-1]) == here[0]:
+        inside = typed_balanced(here[1:-1])
+        start, end = start + inside, end - inside
+    elif here[0] in OPEN:
+        start += typed_balanced(here[1:])
+    elif here[-1] in CLOSE:
+        end -= typed_balanced(here[:-1])
     here = text[start:end]
-    if re.search("[A-Za-z]:[A-Za-z]", here):
-        bounds = [m.start() for m in re.finditer(":", here)]
-        parts = zip([0, *(b + 1 for b in bounds)], [*bounds, len(here)], strict=True)
-        return [(start + a, start + b) for a, b in parts if b > a]
-    return [(start, end)] if end > start else []
+    bounds = [m.start() for m in re.finditer(":", here)] if re.search("[A-Za-z]:[A-Za-z]", here) else []
+    parts = zip([0, *(b + 1 for b in bounds)], [*bounds, len(here)], strict=True)
+    return [(start + a, start + b) for a, b in parts if b > a]
 
 
 def complete_words(text: str, spans: Spans) -> Spans:
@@ -180,15 +179,16 @@ def exclude(text: str, spans: Spans, patterns: str = EXCLUDED) -> Spans:
 STEPS: list[Callable[[str, Spans], Spans]] = [merge_overlapping, extend_to_neighbours, close_brackets, merge_overlapping, merge_close, complete_words]
 
 
-def refine(text: str, spans: Spans, patterns: str = EXCLUDED, rounds: int = 10) -> list[Span]:
-    """The steps again and again until nothing changes, at most `rounds` times, then the exclusion; sorted."""
+def refine(text: str, spans: Spans, patterns: str = EXCLUDED) -> list[Span]:
+    """The steps again and again until the spans are ones that have been before, then the exclusion; sorted. Mostly that
+    is a fixed point; where the steps go in a circle, it is the first set of the circle that comes again. Spans have bounds in the text,
+    so this always ends."""
     spans = {(max(s, 0), min(e, len(text))) for s, e in spans if s < e}
-    for _ in range(rounds):
-        before = spans
+    seen: set[frozenset[Span]] = set()
+    while frozenset(spans) not in seen:
+        seen.add(frozenset(spans))
         for step in STEPS:
             spans = step(text, spans) if spans else spans
-        if spans == before:
-            break
     return sorted(exclude(text, spans, patterns))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,6 +30,7 @@ SPLIT_SUFFIXES = frozenset(
     "filled 15 stabilised derived position terminated protecting bonds complexes substituted hyperaccumulator donor coating terminal "
     "isomers coated peptide based complex unsaturated".split(" ")
 )
+# Counting prefixes, oxidation states, trademarks, possessives, labels of groups.
 _COUNT_WORD = re.compile("mono|di|tri|tetra|penta|hexa|hepta|un|de|re|pre")
 _STATE = re.compile(r"\((o|i{1,4}|i{0,3}[xv]|[xv]i{0,4})\)$", re.I)
 _MARK = re.compile(r".+?(\((?:TM|R)\)|\(\((?:TM|R)\)\))$")
@@ -42,7 +44,8 @@ _LOCANTS = re.compile(rf"{_LOCANT}(?:,{_LOCANT})*[{HYPHENS}]\S*$")
 _ELEMENTS = "Zr Zn Yb Y Xe W V U Tm Tl Ti Th Te Tc Tb Ta Sr Sn Sm Si Sg Se Sc Sb S Ru Rn Rh Rf Re Rb Ra Pu Pt Pr Po Pm Pd Pb Pa P Os O Np No Ni Ne Nd Nb Na N Mt Mo Mn Mg Md Lu Lr Li La Kr K Ir In I Hs Ho Hg Hf He H Ge Gd Ga Fr Fm Fe F Eu Es Er Dy Ds Db Cu Cs Cr Co Cm Cl Cf Ce Cd Ca C Br Bk Bi Bh Be Ba B Au At As Ar Am Al Ag Ac"
 _ATOM = rf"(?:{_ELEMENTS.replace(' ', '|')})"
 _BOND_ATOM = rf"(?:{_ATOM}\d*{_PRIME}|{_ATOM}\(\d+\))"
-_BONDS = re.compile(rf"{_BOND_ATOM}(?:[{HYPHENS}{ELLIPSIS}=]{_BOND_ATOM})+$")
+# Marks of a bond, one of them from the private use area.
+_BONDS = re.compile(rf"{_BOND_ATOM}(?:[{HYPHENS}{ELLIPSIS}=\ue001]{_BOND_ATOM})+$")
 
 Cut = tuple[int, ...]
 Rule = Callable[[str], Cut | None]
@@ -56,31 +59,43 @@ def around(text: str, sub: str, keep: int | None = None) -> Cut | None:
     return (at, at + (len(sub) if keep is None else keep))
 
 
+_SUFFIX_SIZES = sorted({len(x) for x in SPLIT_SUFFIXES if len(x) > 2}, reverse=True)
+
+
+def _leads_suffix(word: str) -> bool:
+    """Whether a listed right part is the whole word, or leads it behind at most one counting prefix."""
+    m = _COUNT_WORD.match(word)
+    rest = word[m.end() :] if m else word
+    return word in SPLIT_SUFFIXES or any(rest[:n] in SPLIT_SUFFIXES for n in _SUFFIX_SIZES if n <= len(rest))
+
+
 def hyphen_index(text: str) -> int:
-    """The hyphen to split at, from the right; -1 if there is none."""
+    """The last hyphen to split at, neither first nor last in the token; -1 if there is none.
+
+    A dash always splits. A hyphen splits before a listed part, or, from the third character on, between two small letters
+    and nothing but small letters. One that would leave brackets open on its right, in a token that has none open, doesn't.
+    """
     known = balanced(text)
-    for i in range(len(text) - 2, 0, -1):
-        if text[i] not in HYPHENS:
-            continue
-        right = text[i + 1 :]
+    for m in reversed(list(re.finditer(f"(?<=.)[{HYPHENS}](?=.)", text, re.S))):
+        at, right = m.start(), text[m.end() :]
         if known and not balanced(right):
             continue
-        if text[i] in "–—":
-            return i
-        low = right.lower()
-        if low in SPLIT_SUFFIXES:
-            return i
-        if m := _COUNT_WORD.match(low):
-            low = low[m.end() :]
-        while len(low) >= 3:
-            if low in SPLIT_SUFFIXES:
-                return i
-            low = low[:-1]
-        if i > 1 and re.fullmatch("[a-z]{2}", text[i - 2 : i]) and re.fullmatch("[a-z]+", right):
-            return i
+        plain = at > 1 and re.fullmatch("[a-z]{2}", text[at - 2 : at]) and re.fullmatch("[a-z]+", right)
+        if m[0] in "–—" or plain or _leads_suffix(right.lower()):
+            return at
     return -1
 
 
+def hyphen_column(word: Column) -> Column:
+    """hyphen_index of each word; null for a null one."""
+
+    @F.pandas_udf("int")
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: hyphen_index(w) if w is not None else None)
+
+    return run(word)
+
+
 def comma_index(text: str) -> int:
     """The last comma with no hyphen right behind it and no hyphen or opening bracket before it; -1 if there is none."""
     clear = min((i for i in map(text.find, "-[(") if i >= 0), default=len(text))
@@ -158,17 +173,27 @@ def split_once(text: str) -> list[tuple[int, int]] | None:
     return None
 
 
-def tokenize(text: str) -> list[tuple[str, int, int, int]]:
-    """(value, start, end, id) of the tokens of a text."""
-    out: list[tuple[str, int, int, int]] = []
-    todo = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)][::-1]
+@lru_cache(maxsize=1 << 17)
+def token_parts(token: str) -> tuple[tuple[int, int], ...]:
+    """Bounds of the parts of a token without blanks, split until no rule applies. Remembered: texts repeat tokens."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(token))]
     while todo:
         start, end = todo.pop()
-        parts = split_once(text[start:end])
+        parts = split_once(token[start:end])
         if parts is None:
-            out.append((text[start:end], start, end, len(out)))
+            out.append((start, end))
         else:
             todo += [(start + a, start + b) for a, b in reversed(parts)]
+    return tuple(out)
+
+
+def tokenize(text: str) -> list[tuple[str, int, int, int]]:
+    """(value, start, end, id) of the tokens of a text."""
+    out: list[tuple[str, int, int, int]] = []
+    for m in re.finditer(r"\S+", text):
+        for a, b in token_parts(m[0]):
+            out.append((m[0][a:b], m.start() + a, m.start() + b, len(out)))
     return out
 
 

@@ -161,9 +161,21 @@ x AS (SELECT doc_id, list_filter(string_split(s, ' '), lambda v: v <> '') AS w F
 g AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS gram, n FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM x), (VALUES (1), (2), (3), (4)) AS k(n) WHERE i + n - 1 <= len(w))
 SELECT doc_id, count(*) AS n, CAST(sum(length(gram)) AS BIGINT) AS chars, min(gram) AS least, max(gram) AS greatest FROM g GROUP BY doc_id""")
 def seg_5(spark: SparkSession, d: str) -> DataFrame:
+    """The n-grams of all sentences in numbers, by arithmetic on the words: a word of m is in min(i, k, m - k + 1,
+    m - i + 1) grams of k words. The least gram is a word, the greatest one of the longest from each word on."""
     w = F.filter(F.split("s", " "), lambda v: v != "")
-    g = sentences(spark, d).select("doc_id", F.explode(tk.ngrams(w)).alias("gram"))
-    return g.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.char_length("gram")).alias("chars"), F.min("gram").alias("least"), F.max("gram").alias("greatest"))
+    s = sentences(spark, d).select("doc_id", w.alias("w")).where(F.size("w") > 0).withColumn("m", F.size("w"))
+    n = sum((F.greatest(F.col("m") - (k - 1), F.lit(0)) for k in range(2, 5)), F.col("m"))
+    blanks = sum(((k - 1) * F.greatest(F.col("m") - (k - 1), F.lit(0)) for k in range(2, 5)), F.lit(0))
+
+    def inside(v, i):
+        grams = [F.greatest(F.least(i + 1, F.lit(k), F.col("m") - (k - 1), F.col("m") - i), F.lit(0)) for k in range(1, 5)]
+        return F.char_length(v) * sum(grams[1:], grams[0])
+
+    chars = F.aggregate(F.transform("w", inside), F.lit(0), lambda a, x: a + x) + blanks
+    longest = F.array_max(F.transform("w", lambda v, i: F.array_join(F.slice("w", i + 1, F.lit(4)), " ")))
+    each = s.select("doc_id", n.alias("n"), chars.alias("chars"), F.array_min("w").alias("least"), longest.alias("greatest"))
+    return each.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
 
 
 @query("seg_3", f"WITH {SENT} SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM s WHERE trim(s) <> '' GROUP BY doc_id")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import tokens as tk
-from spanloom.functions.text import let
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,15 +52,15 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary_matches(sents: DataFrame, dictionary: DataFrame, *key: str) -> DataFrame:
     """Distinct (key, gram) of the n-grams of s whose lower-case form is a term; grams don't cross a mark before a blank.
 
-    Words meet the dictionary by a term's first word, so that n-grams are made only where one can begin; the words
-    behind a word travel with it.
+    Single words meet the first words of terms; only where one can begin is its sentence looked at again, for the words
+    behind.
     """
     w = F.split(F.regexp_replace("s", "[,!?;:]$", ""), "[,!?;:]? ")
-    longest = 4
-    windows = let(w, lambda v: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.slice(v, i, F.lit(longest))))
-    each = sents.select(*key, F.explode(windows).alias("x")).withColumn("first", F.lower(F.get("x", F.lit(0))))
-    gram = F.array_join(F.slice("x", F.lit(1), F.col("n")), " ")
-    return each.join(dictionary, "first").withColumn("gram", gram).where((F.lower("gram") == F.col("term")) & (F.size("x") >= F.col("n"))).select(*key, "gram").distinct()
+    each = sents.select(*key, F.posexplode(w).alias("pos", "x")).select(*key, "pos", F.lower("x").alias("first"))
+    begins = each.join(dictionary, "first").select(*key, "pos", "term", "n").distinct()
+    found = sents.select(*key, w.alias("w")).join(begins, list(key))
+    gram = F.array_join(F.slice("w", F.col("pos") + 1, F.col("n")), " ")
+    return found.withColumn("gram", gram).where(F.lower("gram") == F.col("term")).select(*key, "gram").distinct()
 
 
 SENT = r"s AS (SELECT doc_id, CAST(i AS INT) - 1 AS sent_id, p[i] AS s FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '[.\n]') AS p FROM documents)))"

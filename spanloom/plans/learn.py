@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import stats
@@ -15,7 +16,8 @@ from spanloom.operators import forest
 from spanloom.plans.storage import scratch_path
 from spanloom.sources.files import save_table
 from spanloom.plans.catalog import WORDS, distinct_words, query, table
-from spanloom.plans.tokenize import _GRAMS, _SHAPE, TOKENS, turn_tokens
+from spanloom.plans import lexicons
+from spanloom.plans.tokenize import _FLAG_LIST, _GRAMS, _SHAPE, TOKENS, turn_tokens, word_features
 
 
 @query("agg_1", f"WITH {TOKENS} SELECT value, count(*) AS n FROM k GROUP BY value")
@@ -89,13 +91,13 @@ def set_2(spark: SparkSession, d: str) -> DataFrame:
     return unambiguous(spark, d).groupBy("target").agg(F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("greatest"))
 
 
-@query("srt_3", f"WITH {_SIDES} SELECT w, target FROM u ORDER BY md5(w), w LIMIT 500")
+@query("srt_3", f"WITH {_SIDES} SELECT w, target FROM u ORDER BY md5(w), w")
 def srt_3(spark: SparkSession, d: str) -> DataFrame:
     return unambiguous(spark, d).orderBy(F.md5("w"), "w")
 
 
-_MI = f"""{_SIDES}, x AS (SELECT w, target, '^' || w || '$' AS m FROM u),
-f AS (SELECT DISTINCT w, target, unnest(list_concat(['ws=' || {_SHAPE}], {_GRAMS})) AS feature FROM x),
+_MI = f"""{_SIDES}, {lexicons.feature_sql('u', _SHAPE, _GRAMS, _FLAG_LIST)},
+f AS (SELECT DISTINCT w, target, unnest(f) AS feature FROM ft),
 n AS (SELECT count(*) AS total, sum(target) AS pos FROM u),
 c AS (SELECT feature, CAST(sum(target) AS BIGINT) AS joint, count(*) AS a FROM f GROUP BY feature),
 e AS (SELECT feature, joint, a, CAST(pos AS DOUBLE) AS b, CAST(total AS DOUBLE) AS t FROM c, n),
@@ -107,7 +109,8 @@ mi AS (SELECT feature, joint, a, (CASE WHEN joint * t < a * b THEN -1 ELSE 1 END
 def feature_counts(spark: SparkSession, d: str) -> DataFrame:
     """feature, joint, a, mi over distinct words. Two totals reach the driver."""
     u = unambiguous(spark, d)
-    f = u.select("w", "target", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("ws="), tx.shape(F.col("w")))), tx.char_grams(F.col("w"))))).alias("feature"))
+    known = lexicons.with_memberships(u, lexicons.lexicon(spark, d))
+    f = known.select("w", "target", F.explode(lexicons.forest_features(F.col("w"))).alias("feature"))
     c = f.groupBy("feature").agg(F.sum("target").cast("long").alias("joint"), F.count("*").alias("a"))
     total = u.agg(F.count("*").cast("double").alias("t"), F.coalesce(F.sum("target"), F.lit(0)).cast("double").alias("b")).first()
     return c.withColumn("mi", stats.signed_information(F.col("joint"), F.col("a"), F.lit(total.b), F.lit(total.t)))
@@ -128,14 +131,15 @@ def top_1(spark: SparkSession, d: str) -> DataFrame:
     return feature_counts(spark, d).orderBy(F.round(F.abs("mi"), 10).desc(), "feature").limit(1000).select("feature", F.round("mi", 8).alias("mi"))
 
 
-_WEIGHTED = rf"""{_SIDES}, x AS (SELECT w, '^' || w || '$' AS m FROM u), f AS (SELECT DISTINCT w, unnest(list_concat(['ws=' || {_SHAPE}], {_GRAMS})) AS feature FROM x),
+_WEIGHTED = rf"""{_SIDES}, f AS (SELECT DISTINCT w, unnest(['ws=' || {_SHAPE}, 'suf3=' || right(w, 3), 'suf2=' || right(w, 2)]) AS feature FROM u),
 pr AS (SELECT DISTINCT doc_id // 2 AS pair, unnest(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w FROM documents), df AS (SELECT w, count(*) AS df FROM pr GROUP BY w),
 wt AS (SELECT feature, CAST(sum(df) AS BIGINT) AS n FROM f JOIN df ON df.w = f.w GROUP BY feature)"""
 
 
 def weighted_features(spark: SparkSession, d: str) -> DataFrame:
+    """feature, n: shapes and suffixes of unambiguous words, each as often as the word is in a pair of documents."""
     f = unambiguous(spark, d).join(pair_frequency(spark, d), "w")
-    each = f.select("df", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("ws="), tx.shape(F.col("w")))), tx.char_grams(F.col("w"))))).alias("feature"))
+    each = f.select("df", F.explode(tx.direct_features(F.col("w"))).alias("feature"))
     return each.groupBy("feature").agg(F.sum("df").alias("n"))
 
 
@@ -182,19 +186,9 @@ def grp_2(spark: SparkSession, d: str) -> DataFrame:
     return sizes.select("size", "turn_id", batch).groupBy("size", "batch").agg(F.count("*").alias("n"), F.min("turn_id").alias("first"))
 
 
-_LEX = r"lx AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS x FROM benchmark), nm AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS x FROM part)"
-
-
-@query("join_7", f"WITH {WORDS}, {_LEX}, ll AS (SELECT DISTINCT lower(x) AS x FROM lx), nl AS (SELECT DISTINCT lower(x) AS x FROM nm) SELECT w, CAST(w IN (SELECT x FROM lx) AS INT) AS word, CAST(lower(w) IN (SELECT x FROM ll) AS INT) AS lower_word, CAST(w IN (SELECT x FROM nm) AS INT) AS name, CAST(lower(w) IN (SELECT x FROM nl) AS INT) AS lower_name FROM w")
+@query("join_7", f"WITH {WORDS}, {lexicons.LEXICON_SQL} SELECT w, {lexicons.MEMBER_SQL} FROM w")
 def join_7(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "benchmark").select(F.explode(tk.words(F.col("text"))).alias("x")).distinct()
-    names = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("x")).distinct()
-    out = distinct_words(spark, d)
-    for lexicon, flag in ((words, "word"), (names, "name")):
-        for low, name in ((False, flag), (True, f"lower_{flag}")):
-            key = lexicon.select((F.lower("x") if low else F.col("x")).alias(f"k_{name}")).distinct()
-            out = out.join(key, (F.lower("w") if low else F.col("w")) == F.col(f"k_{name}"), "left")
-    return out.select("w", *[F.col(f"k_{n}").isNotNull().cast("int").alias(n) for n in ("word", "lower_word", "name", "lower_name")])
+    return lexicons.with_memberships(distinct_words(spark, d), lexicons.lexicon(spark, d))
 
 
 @query("join_8", "SELECT d.doc_id, CASE WHEN e.vec_id IS NULL THEN 0 ELSE 1 END AS known, round(CAST(coalesce(e.embedding[1], 0) AS DOUBLE), 6) AS x FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
@@ -205,20 +199,60 @@ def join_8(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", F.col("vec_id").isNotNull().cast("int").alias("known"), F.round(F.get(vec, F.lit(0)).cast("double"), 6).alias("x"))
 
 
-@query("join_10", f"WITH {_SCORED} SELECT sc.doc_id, coalesce(CASE WHEN e.label > 4 THEN CAST(e.label AS DOUBLE) END, score) AS score FROM sc LEFT JOIN embeddings e ON e.vec_id = sc.doc_id")
+# A fixed small forest over a word's length and share of digits: (tree, node, feature, threshold, left, right, value); a
+# leaf's feature is -2
+_WORD_NODES = [(0, 0, 0, 6.0, 1, 2, 0.0), (0, 1, -2, 0.0, 0, 0, 0.2), (0, 2, 1, 0.25, 3, 4, 0.0), (0, 3, -2, 0.0, 0, 0, 0.6), (0, 4, -2, 0.0, 0, 0, 0.9), (1, 0, 1, 0.1, 1, 2, 0.0), (1, 1, -2, 0.0, 0, 0, 0.1), (1, 2, -2, 0.0, 0, 0, 0.8)]
+_DIGITS = "length(regexp_replace(w, '[^0-9]', '', 'g'))"
+_WORD_SCORES = rf"""ca AS (SELECT w, round(avg(toxic), 6) AS cached FROM (SELECT DISTINCT l.doc_id, toxic, unnest(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w FROM documents JOIN labels l ON documents.doc_id = l.doc_id) GROUP BY w),
+ws AS (SELECT w.w, coalesce(ca.cached, round({forest.score_sql(_WORD_NODES, ["length(w.w)", "length(regexp_replace(w.w, '[^0-9]', '', 'g')) / length(w.w)"])}, 6)) AS score, ca.cached IS NOT NULL AS known FROM w LEFT JOIN ca ON ca.w = w.w)"""
+
+
+def word_scores(spark: SparkSession, d: str) -> DataFrame:
+    """w, score, known: the score that is cached for a word of labelled texts (here the share of toxic ones among the texts
+    that hold it), and the forest's for all others."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    cached = docs.select("doc_id", "toxic", F.explode(F.array_distinct(tk.words(F.col("text")))).alias("w")).distinct().groupBy("w").agg(F.round(F.avg("toxic"), 6).alias("cached"))
+    n = F.char_length("w")
+    x = F.array(n.cast("double"), F.char_length(F.regexp_replace("w", "[^0-9]", "")) / n)
+    w = distinct_words(spark, d).join(cached, "w", "left")
+    return w.select("w", F.coalesce("cached", F.round(forest.score_column(_WORD_NODES, x), 6)).alias("score"), F.col("cached").isNotNull().alias("known"))
+
+
+@query("join_10", f"WITH {WORDS}, {_WORD_SCORES} SELECT w, score, known FROM ws")
 def join_10(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "embeddings").where("label > 4").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("double").alias("known"))
-    return scored(spark, d).join(known, "doc_id", "left").select("doc_id", F.coalesce("known", "score").alias("score"))
+    return word_scores(spark, d)
+
+
+_NUMBERS = f"""length(w), round(ln(length(w)), 6), round(sqrt(length(w)), 6), length(regexp_replace(w, '[a-z]', '', 'g')), round(length(regexp_replace(w, '[a-z]', '', 'g')) / length(w), 6),
+  length(regexp_replace(w, '[A-Za-z]', '', 'g')), round(length(regexp_replace(w, '[A-Za-z]', '', 'g')) / length(w), 6), {_DIGITS}, {", ".join(lexicons.IN_VECTOR)}, {", ".join(f"CAST(regexp_matches(w, '{p}') AS INT)" for p in tx.FLAGS.values())}"""
+
+
+@query("str_8", f"""WITH {WORDS}, {_WEIGHTED}, nn AS (SELECT list(feature ORDER BY n DESC, feature) AS sel FROM (SELECT feature, n FROM wt ORDER BY n DESC, feature LIMIT 100)),
+{_WORD_SCORES}, {lexicons.LEXICON_SQL}, fl AS (SELECT *, {lexicons.MEMBER_SQL} FROM ws)
+SELECT w, list_concat(list_concat([score], list_transform(sel, lambda s: CAST(s IN ('ws=' || {_SHAPE}, 'suf3=' || right(w, 3), 'suf2=' || right(w, 2)) AS DOUBLE))), [{_NUMBERS}]::DOUBLE[]) AS vector FROM fl, nn""")
+def str_8(spark: SparkSession, d: str) -> DataFrame:
+    """The whole vector of a word: its score, a bit for each of the hundred selected direct features, and 23 numbers."""
+    selected = [r.feature for r in top_2(spark, d).collect()]  # a hundred rows
+    known = lexicons.with_memberships(word_scores(spark, d), lexicons.lexicon(spark, d))
+    numbers = [*tx.numerics(F.col("w")).values(), *lexicons.IN_VECTOR, *[F.col("w").rlike(p).cast("int") for p in tx.FLAGS.values()]]
+    numbers = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in numbers]
+    bits = tx.encode(tx.direct_features(F.col("w")), selected).cast("array<double>")
+    return known.select("w", F.concat(F.array("score"), bits, F.array(*numbers)).alias("vector"))
 
 
 _ABBR = r"ab AS (SELECT item_id, w[1] AS short, w[2] || ' ' || w[3] AS long FROM (SELECT item_id, string_split(lower(regexp_replace(text, '[,.\n]', '', 'g')), ' ') AS w FROM benchmark)), ke AS (SELECT * FROM ab WHERE regexp_extract(long, '^[a-z]+ [a-z]+', 0) = long)"
 
 
-def kept_abbreviations(spark: SparkSession, d: str) -> DataFrame:
-    """item_id, short, long of pairs whose expansion a recogniser (two lower-case words) takes as a whole."""
+def two_words(text: Column) -> Column:
+    """A recogniser: the first entity of a text, here two lower-case words at its head; empty where there is none."""
+    return F.regexp_extract(text, "^[a-z]+ [a-z]+", 0)
+
+
+def kept_abbreviations(spark: SparkSession, d: str, first_entity: Callable[[Column], Column] = two_words) -> DataFrame:
+    """item_id, short, long of pairs whose expansion is, as a whole, the first entity that a recogniser finds in it."""
     w = F.split(F.lower(F.regexp_replace("text", "[,.\n]", "")), " ")
     pairs = table(spark, d, "benchmark").select("item_id", F.get(w, F.lit(0)).alias("short"), F.concat_ws(" ", F.get(w, F.lit(1)), F.get(w, F.lit(2))).alias("long"))
-    return pairs.where(F.regexp_extract("long", "^[a-z]+ [a-z]+", 0) == F.col("long"))
+    return pairs.where(first_entity(F.col("long")) == F.col("long"))
 
 
 @query("join_11", f"WITH {_ABBR} SELECT item_id, short, long FROM ke")
@@ -226,20 +260,32 @@ def join_11(spark: SparkSession, d: str) -> DataFrame:
     return kept_abbreviations(spark, d)
 
 
-_PLACES = rf"WITH {_ABBR}, sh AS (SELECT DISTINCT short FROM ke WHERE length(short) > 3), cx AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations), cw AS (SELECT conv_id, turn, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM cx) SELECT conv_id, turn, short, count(*) AS n, min(i) AS first FROM cw JOIN sh ON sh.short = cw.w GROUP BY conv_id, turn, short"
+def _places_sql(source: str, key: str, kept: str, on: str) -> str:
+    return rf"""{_ABBR}, {kept}, px AS (SELECT {key}, regexp_extract_all(lower(text), '[0-9a-z_]+|[^0-9a-z_]+') AS p FROM {source}), pp AS (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM px),
+pq AS (SELECT {key}, p[i] AS v, CAST(sum(length(p[i])) OVER (PARTITION BY {key} ORDER BY i) AS BIGINT) AS e FROM pp) SELECT {", ".join("pq." + k.strip() for k in key.split(","))}, e - length(v) AS start, e AS "end", short FROM pq JOIN sh ON {on}"""
+
 
+def whole_words(df: DataFrame, text: Column, *key: str) -> DataFrame:
+    """key, short, start, end of each run of word characters of a text in lower case."""
+    runs = df.select(*key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z_]+|[^0-9a-z_]+"), 0)).alias("i", "short"))
+    end = F.sum(F.char_length("short")).over(Window.partitionBy(*key).orderBy("i"))
+    placed = runs.select(*key, "short", end.alias("end")).withColumn("start", F.col("end") - F.char_length("short"))
+    return placed.where(F.col("short").rlike("^[0-9a-z_]"))
 
-@query("join_12", _PLACES)
+
+@query("join_12", "WITH " + _places_sql("conversations", "conv_id, turn", "sh AS (SELECT DISTINCT short FROM ke WHERE length(short) > 3)", "sh.short = pq.v"))
 def join_12(spark: SparkSession, d: str) -> DataFrame:
-    """Places of kept abbreviations as whole words: words meet abbreviations by equality, not by a pattern each."""
+    """All places of kept abbreviations as whole words. An abbreviation of word characters stands between word bounds just
+    where it is a whole run of such characters, so runs meet abbreviations by equality, not by a pattern each."""
     short = kept_abbreviations(spark, d).where(F.char_length("short") > 3).select("short").distinct()
-    w = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("i", "short"))
-    return w.join(short, "short").groupBy("conv_id", "turn", "short").agg(F.count("*").alias("n"), (F.min("i") + 1).cast("long").alias("first"))
+    return whole_words(table(spark, d, "conversations"), F.col("text"), "conv_id", "turn").join(short, "short").select("conv_id", "turn", "start", "end", "short")
 
 
-@query("ml_10", _PLACES)
+@query("ml_10", "WITH " + _places_sql("benchmark", "item_id", "sh AS (SELECT DISTINCT item_id, short FROM ke)", "sh.short = pq.v AND sh.item_id = pq.item_id"))
 def ml_10(spark: SparkSession, d: str) -> DataFrame:
-    return join_12(spark, d)
+    """For each article the places of its own abbreviations: those whose expansion a recogniser takes as a whole."""
+    own = kept_abbreviations(spark, d).select("item_id", "short").distinct()
+    return whole_words(table(spark, d, "benchmark"), F.col("text"), "item_id").join(own, ["item_id", "short"]).select("item_id", "start", "end", "short")
 
 
 @query("join_13", f"WITH {_SCORED} SELECT pos % 5 AS fold, count(*) AS test, (SELECT count(*) FROM sc) - count(*) AS train, CAST(sum(toxic) AS BIGINT) AS toxic FROM sc GROUP BY 1")
@@ -250,26 +296,29 @@ def join_13(spark: SparkSession, d: str) -> DataFrame:
     return each.select("fold", "test", (F.lit(total) - F.col("test")).alias("train"), "toxic")
 
 
-def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, x, y: eight surface numbers of each labelled text, and whether it is of quality."""
-    n = F.char_length("text")
-    share = lambda p: F.round(F.char_length(F.regexp_replace("text", p, "")) / n, 6)
-    x = F.array(share("[^A-Z]"), share("[^a-z]"), share("[^0-9]"), share("[^!]"), share("[^|]"), share("[^#$%&*]"), share("[^.]"), F.round(F.ln(n + 1), 6))
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where(n > 0)
-    return docs.select("doc_id", x.alias("x"), F.col("quality").cast("double").alias("y"))
+def training_rows(spark: SparkSession, d: str, width: int = 100) -> DataFrame:
+    """w, x, y: for each unambiguous word a bit for each of the `width` features of most information, and its side."""
+    top = feature_counts(spark, d).orderBy(F.round(F.abs("mi"), 10).desc(), "feature").limit(width)
+    selected = [r.feature for r in top.select("feature").collect()]  # `width` rows
+    known = lexicons.with_memberships(unambiguous(spark, d), lexicons.lexicon(spark, d))
+    bits = tx.encode(lexicons.forest_features(F.col("w")), selected).cast("array<double>")
+    return save_table(known.select("w", bits.alias("x"), F.col("target").cast("double").alias("y")), scratch_path(spark, "training"))
 
 
 @query("ml_1")
 def ml_1(spark: SparkSession, d: str) -> DataFrame:
-    """A forest of 100 trees with a fixed seed, and its scores."""
+    """A forest of 100 trees with a fixed seed over the words' feature bits, and its scores."""
     rows = training_rows(spark, d)
     return forest.score_with_model(forest.fit(rows, trees=100), rows)
 
 
 @query("ml_2")
 def ml_2(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of five folds, each from a forest that has not seen the fold."""
-    return forest.out_of_fold(dense_rank_by(training_rows(spark, d), "doc_id", "pos"), trees=20)
+    """Scores of five folds, each from a forest of 100 trees that has not seen the fold, and beside them those of the last
+    forest, which is fitted on all rows."""
+    rows = dense_rank_by(training_rows(spark, d), "w", "pos")
+    last = forest.score_with_model(forest.fit(rows, trees=100), rows).select("w", F.col("score").alias("refit"))
+    return forest.out_of_fold(rows, trees=100).join(last, "w")
 
 
 @query("ml_3")
@@ -293,17 +342,37 @@ def ml_4(spark: SparkSession, d: str) -> DataFrame:
     return x.select("p_partkey", F.round(forest.score_column(_NODES, F.col("x")), 6).alias("score"))
 
 
+_LEAVES = rf"""WITH RECURSIVE nd(tree, node, feature, threshold, l, r, value) AS (VALUES {_NODE_SQL}),
+x AS (SELECT p_partkey, [CAST(p_size AS DOUBLE), p_retailprice % 1.0] AS x FROM part),
+wk AS (SELECT p_partkey, x, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM nd) t
+  UNION ALL SELECT wk.p_partkey, wk.x, wk.tree, CASE WHEN wk.x[nd.feature + 1] <= nd.threshold THEN nd.l ELSE nd.r END FROM wk JOIN nd ON nd.tree = wk.tree AND nd.node = wk.node WHERE nd.feature <> -2)
+SELECT wk.p_partkey, list(wk.node ORDER BY wk.tree) AS leaves FROM wk JOIN nd ON nd.tree = wk.tree AND nd.node = wk.node WHERE nd.feature = -2 GROUP BY wk.p_partkey"""
+
+
+@query("ml_5", _LEAVES)
+def ml_5(spark: SparkSession, d: str) -> DataFrame:
+    """The leaf of each tree that a row ends in."""
+    x = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice") % 1.0).alias("x"))
+    return x.select("p_partkey", forest.leaf_columns(_NODES, F.col("x")).alias("leaves"))
+
+
 @query("ml_9")
 def ml_9(spark: SparkSession, d: str) -> DataFrame:
     """Batch scoring through an injected model function: here a stub that follows from the words, since weights of the
     networks are not to be had, and reads whole texts (null: empty). Texts of one length go to one task, as batches of one shape need it."""
 
+    w = table(spark, d, "conversations").withColumn("size", F.size(tk.words(F.col("text"))))
+    parts = spark.sparkContext.defaultParallelism
+    dealt = w.withColumn("part", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(parts)))  # a common length goes to several tasks
+    return dealt.repartition("size", "part").select("conv_id", "turn", stub_model(F.coalesce("text", F.lit(""))).alias("score"))
+
+
+def stub_model(text: Column) -> Column:
     @F.pandas_udf("double")
-    def stub(s: pd.Series) -> pd.Series:
+    def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: (sum(map(ord, t)) % 101) / 100.0)
 
-    w = table(spark, d, "conversations").withColumn("size", F.size(tk.words(F.col("text"))))
-    return w.repartition("size").select("conv_id", "turn", stub(F.coalesce("text", F.lit(""))).alias("score"))
+    return run(text)
 
 
 @query("ml_11", f"WITH {TOKENS}, dw AS (SELECT DISTINCT value, length(value) AS n FROM k) SELECT k.turn_id, CAST(sum(dw.n) AS BIGINT) AS n FROM k JOIN dw ON dw.value = k.value GROUP BY k.turn_id")

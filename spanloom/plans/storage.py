@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or on a local master without one (tests) a
+    temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/spanloom/{name}-{uuid.uuid4().hex}"

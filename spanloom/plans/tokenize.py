@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as tx
 from spanloom.functions import tokens as tk
 from spanloom.operators import rule_tokens, sentences, spans
+from spanloom.plans import lexicons
 from spanloom.plans.catalog import SENT, WORDS, distinct_words, query, table
 from spanloom.plans.catalog import sentences as all_sentences
 
@@ -48,7 +49,7 @@ def tok_3_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tok_3")
 def tok_3(spark: SparkSession, d: str) -> DataFrame:
-    """Rule tokens of all sentences, in one Arrow pass."""
+    """Rule tokens of all sentences, in one Arrow pass; a worker splits a blank-separated token once."""
     t = all_sentences(spark, d).withColumn("t", rule_tokens.rule_tokens(F.col("s")))
     return t.select("doc_id", "sent_id", F.explode("t").alias("t")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("t.end").alias("ends"), F.max("t.value").alias("greatest"))
 
@@ -65,10 +66,42 @@ def tok_5(spark: SparkSession, d: str) -> DataFrame:
     return distinct_words(spark, d).where(F.char_length("w") > 4).select("w", tk.split_at(F.col("w"), F.lit(1), F.lit(3)).alias("parts"))
 
 
-@query("tok_9", r"SELECT doc_id, [substr(text, 1, a), substr(text, a + 1, b - a), substr(text, b + 1)] AS parts FROM (SELECT doc_id, text, CAST(length(text) // 3 AS INT) AS a, CAST(length(text) // 2 AS INT) AS b FROM documents)")
+_COMMA = r"^([^-\[(]+),[^-]"
+
+
+@query("tok_6", f"WITH {WORDS}, c AS (SELECT w, CASE WHEN regexp_matches(w, '{_COMMA}') THEN length(regexp_extract(w, '{_COMMA}', 1)) ELSE length(w) - 1 END AS i FROM w) SELECT w, list_filter([left(w, i), substr(w, i + 1, 1), substr(w, i + 2)], lambda x: x <> '') AS parts FROM c WHERE length(w) > 1")
+def tok_6(spark: SparkSession, d: str) -> DataFrame:
+    """Words split on both sides of a character (the comma of the comma rule, else the last one); a split is taken only
+    if over one part has text, which here is every word of two characters."""
+    w = distinct_words(spark, d).withColumn("i", tk.comma_index(F.col("w")))
+    i = F.when(F.col("i") < 0, F.char_length("w") - 1).otherwise(F.col("i"))
+    return w.select("w", tk.accepted(tk.split_at(F.col("w"), i, i + 1)).alias("parts")).where("parts is not null")
+
+
+@query("tok_7")
+def tok_7(spark: SparkSession, d: str) -> DataFrame:
+    """The hyphen that the rules split each hyphenated word at, -1 for none."""
+    w = distinct_words(spark, d).unionByName(table(spark, d, "pages").select(F.explode(tk.words(F.col("html"))).alias("w")).distinct())
+    return w.where(F.col("w").rlike(f"[{rule_tokens.HYPHENS}]")).distinct().select("w", rule_tokens.hyphen_column(F.col("w")).alias("at"))
+
+
+@query("tok_8", f"WITH {WORDS} SELECT w, CAST(CASE WHEN regexp_matches(w, '{_COMMA}') THEN length(regexp_extract(w, '{_COMMA}', 1)) ELSE -1 END AS INT) AS at FROM w WHERE contains(w, ',')")
+def tok_8(spark: SparkSession, d: str) -> DataFrame:
+    return distinct_words(spark, d).where(F.contains("w", F.lit(","))).select("w", tk.comma_index(F.col("w")).alias("at"))
+
+
+@query("tok_9", r"""WITH pc AS (SELECT conv_id, turn, regexp_extract_all(text, '\s*\S+') AS p FROM conversations), tp AS (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM pc),
+k AS (SELECT conv_id, turn, i, regexp_replace(p[i], '^\s+', '') AS v, CAST(sum(length(p[i])) OVER (PARTITION BY conv_id, turn ORDER BY i) AS BIGINT) AS e FROM tp),
+b AS (SELECT *, e - length(v) AS s FROM k), c AS (SELECT *, list_concat(list_concat([s], list_filter(range(0, e, 7), lambda o: o > s)), [e]) AS cuts FROM b)
+SELECT conv_id, turn, CAST(sum(len(cuts) - 1) AS BIGINT) AS n, CAST(sum(list_sum(cuts[1:len(cuts) - 1])) AS BIGINT) AS starts, md5(string_agg(array_to_string(list_transform(range(1, len(cuts)), lambda j: substr(v, CAST(cuts[j] - s AS INT) + 1, CAST(cuts[j + 1] - cuts[j] AS INT))), '|'), ' ' ORDER BY i)) AS parts FROM c GROUP BY conv_id, turn""")
 def tok_9(spark: SparkSession, d: str) -> DataFrame:
-    n = F.char_length("text")
-    return table(spark, d, "documents").select("doc_id", tk.split_at(F.col("text"), F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")).alias("parts"))
+    """Blank-separated tokens, cut at forced offsets as well: here at every seventh place of a turn."""
+    offsets = F.transform(F.sequence(F.lit(0), F.floor(F.char_length("text") / 7)), lambda i: i * 7)
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text", offsets.alias("offsets"))
+    k = tk.forced_tokens(turns, "text", "offsets", "conv_id", "turn")
+    each = k.select("conv_id", "turn", "id", F.size("parts").alias("n"), F.aggregate("cuts", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), F.array_join("parts", "|").alias("t"))
+    own = each.groupBy("conv_id", "turn").agg(F.sum("n").alias("n"), F.sum("s").alias("starts"), F.array_sort(F.collect_list(F.struct("id", "t"))).alias("t"))
+    return own.select("conv_id", "turn", "n", "starts", F.md5(F.array_join(F.transform("t", lambda x: x["t"]), " ")).alias("parts"))
 
 
 @query("tok_10", f"WITH {TOKENS} SELECT turn_id, max(value) FILTER (WHERE id = 1) AS second, string_agg(value, ' ' ORDER BY id) AS strings FROM k GROUP BY turn_id")
@@ -186,30 +219,35 @@ def str_5(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FLAG_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(w, '{p}') THEN 're={n}' END" for n, p in tx.FLAGS.items()) + "], lambda x: x IS NOT NULL)"
-FEATURES = f"{WORDS}, x AS (SELECT w, '^' || w || '$' AS m FROM w), ft AS (SELECT w, list_concat(list_concat(['ws=' || {_SHAPE}], {_GRAMS}), {_FLAG_LIST}) AS f FROM x)"
+FEATURES = f"{WORDS}, {lexicons.feature_sql('w', _SHAPE, _GRAMS, _FLAG_LIST)}"
+
+
+def word_features(spark: SparkSession, d: str) -> DataFrame:
+    """w, its memberships, and f, all its named features, for each distinct word."""
+    known = lexicons.with_memberships(distinct_words(spark, d), lexicons.lexicon(spark, d))
+    return known.withColumn("f", lexicons.forest_features(F.col("w")))
 
 
 @query("str_6", f"WITH {FEATURES}, u AS (SELECT DISTINCT w, unnest(f) AS f FROM ft) SELECT w, count(*) AS n, min(f) AS least, max(f) AS greatest FROM u GROUP BY w")
 def str_6(spark: SparkSession, d: str) -> DataFrame:
-    f = distinct_words(spark, d).select("w", tx.features(F.col("w")).alias("f"))
-    return f.select("w", F.size("f").cast("long").alias("n"), F.array_min("f").alias("least"), F.array_max("f").alias("greatest"))
+    return word_features(spark, d).select("w", F.size("f").cast("long").alias("n"), F.array_min("f").alias("least"), F.array_max("f").alias("greatest"))
 
 
-_SELECTED = ["ws=1", "3g=the", "2g=^t", "1g=e", "re=num", "4g=ing$", "2g=ou", "re=2uc"]
+_SELECTED = ["ws=1", "3g=the", "2g=^t", "1g=e", "re=num", "4g=ing$", "2g=ou", "re=2uc", "dict=usdw", "dict=usdwl"]
 _BITS = "list_transform([" + ", ".join(f"'{s}'" for s in _SELECTED) + "], lambda s: CAST(list_contains(f, s) AS INT))"
 
 
 @query("str_7", f"WITH {FEATURES} SELECT w, {_BITS} AS bits FROM ft")
 def str_7(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_words(spark, d).select("w", tx.encode(tx.features(F.col("w")), _SELECTED).alias("bits"))
+    return word_features(spark, d).select("w", tx.encode(F.col("f"), _SELECTED).alias("bits"))
 
 
-@query("str_8", f"WITH {FEATURES} SELECT w, list_concat([0.5, length(w), length(regexp_replace(w, '[^0-9]', '', 'g'))]::DOUBLE[], {_BITS}::DOUBLE[]) AS vector FROM ft")
-def str_8(spark: SparkSession, d: str) -> DataFrame:
-    n = tx.numerics(F.col("w"))
-    head = F.array(F.lit(0.5), n["n"].cast("double"), n["digits"].cast("double"))
-    bits = tx.encode(tx.features(F.col("w")), _SELECTED).cast("array<double>")
-    return distinct_words(spark, d).select("w", F.concat(head, bits).alias("vector"))
+@query("str_9", f"WITH {FEATURES}, n AS (SELECT DISTINCT unnest(f) AS feature FROM ft) SELECT feature, regexp_replace(feature, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') AS narrow FROM n WHERE regexp_matches(feature, '[^\\x{{00}}-\\x{{7F}}]')")
+def str_9(spark: SparkSession, d: str) -> DataFrame:
+    """Feature names beyond ASCII, which keep their text here, beside the narrow form in which code points over 255 are
+    question marks and so would never be found again."""
+    names = word_features(spark, d).select(F.explode("f").alias("feature")).distinct()
+    return names.where(F.col("feature").rlike("[^\\x{00}-\\x{7F}]")).select("feature", tx.narrow(F.col("feature")).alias("narrow"))
 
 
 BRACKETS = """p AS (SELECT DISTINCT props FROM (SELECT props FROM events UNION ALL SELECT substr(props, 2) FROM events UNION ALL SELECT left(props, length(props) - 1) FROM events UNION ALL SELECT ')' || p_name || '(' FROM part UNION ALL SELECT '(' || p_name || ']' FROM part)),
