@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.refine import EXCLUDED
@@ -51,6 +51,25 @@ def trimmed_end(text: Column, end: Column) -> Column:
     return end - (F.char_length(text) - F.char_length(twice))
 
 
+def cut_end(text: Column, start: Column) -> Column:
+    """The end of a span whose text ends in `v v)`: before its last opening bracket and a blank before that; null, for a
+    span that goes, where it has none. Ends of other spans stay. Ends are places of the sentence, as start is."""
+    back = F.instr(F.reverse(text), "(")
+    at = F.char_length(text) - back
+    at = at - F.when(F.substr(text, at, F.lit(1)) == " ", 1).otherwise(0)
+    mixed = text.rlike("v v\\)$")
+    return F.when(~mixed, start + F.char_length(text)).when(back > 0, start + at)
+
+
+def cure(found: DataFrame, sentence: str, known: str, patterns: str | None = None) -> DataFrame:
+    """Spans (start, end, in the sentence column) that pass all rules for what a span's text may be, with trimmed and cut
+    ends; `known` says which are dictionary matches. Other columns stay."""
+    text = F.substr(F.col(sentence), F.col("start") + 1, F.col("end") - F.col("start"))
+    kept = found.where(passes_rules(text, F.col(known), patterns) & sentence_rule(F.col(sentence), text, F.col("end")))
+    kept = kept.withColumn("end", trimmed_end(text, F.col("end")).cast("int"))
+    return kept.withColumn("end", cut_end(text, F.col("start")).cast("int")).where(F.col("end") > F.col("start"))
+
+
 def any_of(patterns: list[str]) -> str:
     """One alternation of patterns, for one scan of each text."""
     return "|".join(f"(?:{p})" for p in patterns if p)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.functions import tokens as tk
 from spanloom.operators import filters, refine, spans
 from spanloom.plans.catalog import MATCHES, SENT, SPANS, STOP, TERMS, WORDS, dictionary_matches, distinct_words, query, sentences, table, terms
+from spanloom.plans.storage import scratch_path
+from spanloom.sources import files
+from spanloom.sources.files import save_table
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +134,42 @@ def flt_4_sentence(spark: SparkSession, d: str) -> DataFrame:
     return w.where(filters.sentence_rule(F.concat("s", F.lit("; acid")), F.col("w"), F.char_length("w"))).select("doc_id", "sent_id", "w")
 
 
+@query("flt_4_cut", rf"""WITH {WORDS}, v AS (SELECT unnest([w, w || ' (1 v v)', w || '(v v)', w || ' v v)']) AS t FROM w), c AS (SELECT t, CASE WHEN NOT regexp_matches(t, 'v v\)$') THEN length(t) WHEN contains(t, '(') THEN length(regexp_replace(t, ' ?\([^(]*$', '')) END AS "end" FROM v) SELECT t, CAST("end" AS INT) AS "end" FROM c""")
+def flt_4_cut(spark: SparkSession, d: str) -> DataFrame:
+    forms = F.array(F.col("w"), *[F.concat("w", F.lit(x)) for x in (" (1 v v)", "(v v)", " v v)")])
+    each = distinct_words(spark, d).select(F.explode(forms).alias("t"))
+    return each.select("t", filters.cut_end(F.col("t"), F.lit(0)).alias("end"))
+
+
+def corpus_spans(spark: SparkSession, d: str, sentence_splitter: Callable[[Column], Column] = lambda text: F.split(text, "[.\n]")) -> DataFrame:
+    """corpus, section, text, start, end, name: the whole way from articles to annotations. Sections are routed, texts
+    cleaned, cut by the given splitter, slashes between letters opened, terms found and located, spans refined to a fixed point and
+    filtered."""
+    section = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in {"de": "M", "fr": "R", "es": "D"}.items() for x in kv]), F.col("lang")), F.lit("A"))
+    docs = table(spark, d, "documents").select("doc_id", section.alias("letter"), tx.clean_text(F.col("text")).alias("clean"))
+    sents = docs.select("doc_id", "letter", F.posexplode(sentence_splitter(F.col("clean"))).alias("sent_id", "s")).where("s <> ' ' and s <> ''").withColumn("s", tx.separate(F.col("s")))
+    grams = dictionary_matches(sents, terms(spark, d), "doc_id", "sent_id")
+    found = sents.join(grams, ["doc_id", "sent_id"])
+    found = found.select("*", F.explode(spans.locate_term(F.col("s"), F.col("gram"))).alias("start")).withColumn("end", F.col("start") + F.char_length("gram"))
+    own = found.groupBy("doc_id", "letter", "sent_id", "s").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.collect_set("gram").alias("grams"))
+    refined = own.select("doc_id", "letter", "sent_id", "s", "grams", F.explode(refine.step_udf(refine.refine)(F.col("s"), F.col("spans"))).alias("x"))
+    known = refined.select("*", "x.start", "x.end", F.array_contains("grams", F.col("x.text")).alias("known"))
+    cured = filters.cure(known, "s", "known")
+    key = tx.section_key(F.col("letter"), F.lit(0), F.col("sent_id"))
+    name = F.substr(F.col("s"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return cured.select(F.col("doc_id").cast("string").alias("corpus"), key.alias("section"), F.col("s").alias("text"), "start", "end", name.alias("name"))
+
+
+@query("corpus_build")
+def corpus_build(spark: SparkSession, d: str) -> DataFrame:
+    """Both tables of a corpus, written tab-separated and read back: annotations with the sentences that they are in."""
+    made = save_table(corpus_spans(spark, d), scratch_path(spark, "corpus-spans"))
+    sentences_at, spans_at = scratch_path(spark, "corpus-sentences"), scratch_path(spark, "corpus-annotations")
+    files.write_tsv(made.select("corpus", "section", "text").distinct(), sentences_at, "corpus", "section")
+    files.write_tsv(made.select("corpus", "section", "start", "end", "name"), spans_at, "corpus", "section", "start")
+    return files.read_tsv(spark, spans_at, files.ANNOTATIONS).join(files.read_tsv(spark, sentences_at, files.CORPUS), ["corpus", "section"])
+
+
 @query("flt_5", rf"WITH {WORDS} SELECT w FROM w WHERE length(w) > 1 AND NOT regexp_matches(w, '(?i)(?:{_EXCLUDED})')")
 def flt_5(spark: SparkSession, d: str) -> DataFrame:
     return distinct_words(spark, d).where(filters.not_excluded(F.col("w")))

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as tx
 from spanloom.functions import tokens as tk
+from spanloom.operators import spans
 from spanloom.plans.annotate import annotations
-from spanloom.plans.catalog import SENT, SPANS, query, sentences, table
+from spanloom.plans.catalog import ORACLES, SENT, SPANS, WORDS, query, sentences, table
 from spanloom.plans.storage import scratch_path
+from spanloom.plans.tokenize import _REVISED, TOKENS, labelled, turn_tokens
 from spanloom.sources import files
 from spanloom.streaming.annotate import annotate_stream
 
 
 @query("src_1", "SELECT CAST(page_id AS VARCHAR) AS corpus, 0 AS pos, ['body', url] AS terms, html AS body FROM pages UNION ALL SELECT CAST(page_id AS VARCHAR), 1, ['url'], url FROM pages")
 def src_1(spark: SparkSession, d: str) -> DataFrame:
-    """Articles: one JSON object a row, read with the articles' schema."""
+    """Articles: one file each, written by partition, read with the articles' schema; a partition's name says which."""
     para = lambda terms, body: F.struct(terms.alias("IAO_term"), body.alias("body"))
-    pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("corpus"), F.array(para(F.array(F.lit("body"), "url"), F.col("html")), para(F.array(F.lit("url")), F.col("url"))).alias("paragraphs"))
+    pages = table(spark, d, "pages").select("page_id", F.array(para(F.array(F.lit("body"), "url"), F.col("html")), para(F.array(F.lit("url")), F.col("url"))).alias("paragraphs"))
     path = scratch_path(spark, "articles")
-    pages.write.json(path)
-    df = spark.read.schema(f"corpus string, {files.ARTICLE}").json(path)
-    return df.select("corpus", F.posexplode("paragraphs").alias("pos", "p")).select("corpus", "pos", F.col("p.IAO_term").alias("terms"), F.col("p.body").alias("body"))
+    pages.withColumn("shelf", F.pmod(F.col("page_id"), F.lit(16))).withColumn("corpus", F.col("page_id").cast("string")).drop("page_id").write.partitionBy("shelf").json(path)
+    return files.read_articles(spark, path, "corpus")
 
 
 _CORPUS = f"WITH {SENT} SELECT CAST(doc_id AS VARCHAR) AS corpus, printf('M%02d%03d', doc_id % 7, sent_id) AS section, s AS text FROM s"
@@ -123,10 +125,77 @@ def _sequences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", tk.words(F.col("text")).alias("tokens"))
 
 
-for _name in ("src_13", "snk_2", "snk_4"):
-    _saved(_name, _SEQ, _sequences)
-_saved("src_12", "SELECT source, count(*) AS n FROM documents GROUP BY source", lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")))
-_saved("snk_3", "SELECT source, count(*) AS n FROM documents GROUP BY source", lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")))
+_saved("snk_4", _SEQ, _sequences)
+
+
+@query("snk_2", f"WITH {_REVISED} SELECT rv.turn_id, count(*) AS n, string_agg(k.value, ' ' ORDER BY rv.id) AS tokens, string_agg(rv.tag, '' ORDER BY rv.id) AS bio FROM rv JOIN k ON k.turn_id = rv.turn_id AND k.id = rv.id GROUP BY rv.turn_id")
+def snk_2(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled sequences as a tab-separated table: a row for each, its lists as JSON; read back and opened."""
+    t = spans.revise_tags(labelled(spark, d), "turn_id")
+    own = t.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("id", "value", "start", "end", "tag"))).alias("t"))
+    lists = [F.to_json(F.col("t")[f]).alias(f) for f in ("value", "start", "end", "tag")]
+    path = scratch_path(spark, "labelled")
+    files.write_tsv(own.select("turn_id", *lists), path, "turn_id")
+    back = files.read_tsv(spark, path, "turn_id long, value string, start string, end string, tag string")
+    texts = lambda c: F.from_json(c, "array<string>")
+    return back.select("turn_id", F.size(texts("value")).cast("long").alias("n"), F.array_join(texts("value"), " ").alias("tokens"), F.array_join(texts("tag"), "").alias("bio"))
+
+
+@query("src_13", f"WITH {TOKENS} SELECT turn_id, count(*) AS n, 8 AS width, CAST(sum(length(value)) AS DOUBLE) AS chars FROM k GROUP BY turn_id")
+def src_13(spark: SparkSession, d: str) -> DataFrame:
+    """Prepared sequences with the numbers of each token, saved; loaded, and the width of a token's numbers recovered."""
+    numbers = F.array(*[c.cast("double") for c in tx.numerics(F.col("value")).values()])
+    own = turn_tokens(spark, d).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("id", numbers.alias("ni")))).alias("t"))
+    loaded = files.save_table(own.select("turn_id", F.transform("t", lambda x: x["ni"]).alias("ni")), scratch_path(spark, "prepared"))
+    chars = F.aggregate("ni", F.lit(0.0), lambda a, x: a + F.get(x, F.lit(0)))
+    return loaded.select("turn_id", F.size("ni").cast("long").alias("n"), F.size(F.get("ni", F.lit(0))).alias("width"), chars.alias("chars"))
+
+
+def model_parts(spark: SparkSession, d: str) -> DataFrame:
+    """part, name, number, value: all that a feature model keeps beside its network, in one long table: the features selected
+    for the forest and for the network with their ranks, cached scores, token numbers, and the forest's nodes."""
+    from spanloom.plans import learn
+
+    def ranked(df: DataFrame, part: str, value: str, size: int) -> DataFrame:
+        rank = F.row_number().over(Window.orderBy(F.round(F.abs(value), 10).desc(), "feature"))
+        return df.limit(size).select(F.lit(part).alias("part"), F.col("feature").alias("name"), (rank - 1).cast("long").alias("number"), F.col(value).cast("double").alias("value"))
+
+    nodes = spark.createDataFrame([("rf", f"{n[0]}/{n[1]}", n[2], n[3]) for n in learn._NODES], "part string, name string, number long, value double")
+    cache = learn.word_scores(spark, d).where("known").select(F.lit("cache").alias("part"), F.col("w").alias("name"), F.lit(0).cast("long").alias("number"), F.col("score").alias("value"))
+    toks = learn.vocabulary(spark, d).select(F.lit("tokd").alias("part"), F.col("value").alias("name"), F.col("idx").alias("number"), F.lit(0.0).alias("value"))
+    return ranked(learn.top_1(spark, d), "selfeat", "mi", 1000).unionByName(ranked(learn.top_2(spark, d), "nnfeats", "n", 100)).unionByName(nodes).unionByName(cache).unionByName(toks)
+
+
+def _parts_sql() -> str:
+    from spanloom.plans import learn
+
+    nodes = ", ".join(f"('rf', '{n[0]}/{n[1]}', {n[2]}, {n[3]})" for n in learn._NODES)
+    strip = lambda name: ORACLES[name]
+    return f"""WITH RECURSIVE {WORDS}, {learn._WORD_SCORES}, t1 AS ({strip("top_1")}), t2 AS ({strip("top_2")}), vv AS ({strip("agg_2")})
+SELECT 'selfeat' AS part, feature AS name, row_number() OVER (ORDER BY round(abs(mi), 10) DESC, feature) - 1 AS number, mi AS value FROM t1
+UNION ALL SELECT 'nnfeats', feature, row_number() OVER (ORDER BY n DESC, feature) - 1, CAST(n AS DOUBLE) FROM t2
+UNION ALL SELECT 'cache', w, 0, score FROM ws WHERE known UNION ALL SELECT 'tokd', value, idx, 0.0 FROM vv WHERE value NOT IN ('[PAD]', '[UNK]') UNION ALL SELECT * FROM (VALUES {nodes})"""
+
+
+def _register_model() -> None:
+    import spanloom.plans.learn  # noqa: F401  (its SQL is part of this one's)
+
+    sql = _parts_sql()
+
+    @query("snk_3", sql)
+    def snk_3(spark: SparkSession, d: str) -> DataFrame:
+        """The model's parts as JSON lines, read back."""
+        path = scratch_path(spark, "model-parts")
+        model_parts(spark, d).write.json(path)
+        return spark.read.schema("part string, name string, number long, value double").json(path)
+
+    @query("src_12", f"SELECT part, count(*) AS n, min(name) AS least, max(name) AS greatest, CAST(max(number) AS BIGINT) AS last FROM ({sql}) GROUP BY part")
+    def src_12(spark: SparkSession, d: str) -> DataFrame:
+        """A saved model, loaded: each part's entries."""
+        return snk_3(spark, d).groupBy("part").agg(F.count("*").alias("n"), F.min("name").alias("least"), F.max("name").alias("greatest"), F.max("number").alias("last"))
+
+
+_register_model()
 
 
 @query("snk_5")

@@ -10,11 +10,13 @@ ANNOTATIONS = "corpus string, section string, start int, end int, name string"
 ARTICLE = "paragraphs array<struct<IAO_term:array<string>,body:string>>"
 
 
-def read_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each paragraph: corpus (the file name up to its first _), pos, terms, body."""
-    df = spark.read.schema(ARTICLE).json(folder, multiLine=True)
-    name = F.element_at(F.split(F.col("_metadata.file_name"), "_"), 1)
-    return df.select(name.alias("corpus"), F.posexplode("paragraphs").alias("pos", "p")).select("corpus", "pos", F.col("p.IAO_term").alias("terms"), F.col("p.body").alias("body"))
+def read_articles(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
+    """A row for each paragraph: corpus, pos, terms, body. Without a `name` a file is one article and named by it, up to its
+    first _; with one, a line is an article and has its name in that field."""
+    schema = f"{ARTICLE}, {name} string" if name else ARTICLE
+    df = spark.read.schema(schema).json(folder, multiLine=name is None)
+    named = F.col(name) if name else F.element_at(F.split(F.col("_metadata.file_name"), "_"), 1)
+    return df.select(named.alias("corpus"), F.posexplode("paragraphs").alias("pos", "p")).select("corpus", "pos", F.col("p.IAO_term").alias("terms"), F.col("p.body").alias("body"))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:

@@ -176,3 +176,59 @@ def test_streams(spark, tmp_path):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).columns == ["doc_id", "sent_id", "start", "end", "gram"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_typed_stack_keeps_closers():
+    assert brackets.unmatched("(a]b)") == [0, 2, 4]
+    assert brackets.unmatched("a(b)[c") == [4] and brackets.unmatched(")(") == [0, 1]
+
+
+@pytest.mark.parametrize(
+    ("text", "span", "want"),
+    [
+        (")abc def", (0, 4), {(0, 4)}),  # a closing bracket in front stays
+        ("see (abc) now", (5, 8), {(5, 8)}),  # widened to the chunk, then unwrapped
+        ("see abc, now", (4, 6), {(4, 7)}),
+        ("one two three", (3, 4), {(0, 7)}),  # from a blank, the words on both its sides
+        ("a citrate:borate b", (2, 9), {(2, 9), (10, 16)}),
+        ("(abc def", (0, 4), {(1, 4)}),
+        ("abc) def", (0, 4), {(0, 3)}),
+        ("(a]b) x", (0, 5), {(0, 5)}),
+    ],
+)
+def test_words_are_completed(text, span, want):
+    assert refine.complete_words(text, {span}) == want
+
+
+def test_refinement_ends_where_spans_come_again(monkeypatch):
+    turn = {(0, 3): (4, 7), (4, 7): (8, 11), (8, 11): (0, 3)}
+    monkeypatch.setattr(refine, "STEPS", [lambda text, spans: {turn[s] for s in spans}])
+    assert refine.refine("abc def ghi", {(0, 3)}) == [(0, 3)]
+
+
+def test_hyphen_rule():
+    at = {"drug-related": 4, "a-b": -1, "oxy-dimethyl": 3, "poly—mer": 4, "x-bound": 1, "T-unbound": 1, "one-two-three": 7, "(a-b)": -1, "A-1": -1, "ab-": -1, "-ab": -1}
+    assert {w: rule_tokens.hyphen_index(w) for w in at} == at
+
+
+def test_comma_and_forced_cuts_as_columns(spark):
+    words = ["a,b", "a,-b", "1,2-x", "(a,b", "ab,", ",ab", "a,b,c", "ab"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r.i for r in df.select(tk.comma_index(F.col("w")).alias("i")).collect()] == [rule_tokens.comma_index(w) for w in words]
+    df = spark.createDataFrame([(1, "  abc defgh  i", [0, 3, 4, 8, 99])], "k int, t string, o array<int>")
+    got = [(r.cuts, r.parts) for r in tk.forced_tokens(df, "t", "o", "k").orderBy("id").collect()]
+    cuts = rule_tokens.force_splits("  abc defgh  i", [0, 3, 4, 8, 99])
+    assert [c for cs, _ in got for c in cs] == [a for a, _ in cuts] and [p for _, ps in got for p in ps] == ["  abc defgh  i"[a:b] for a, b in cuts]
+
+
+def test_spans_are_cut_before_mixtures(spark):
+    texts = ["water (1:1 v v)", "water v v)", "acid(v v)", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.e for r in df.select(filters.cut_end(F.col("t"), F.lit(10)).alias("e")).collect()] == [15, None, 14, 15]
+    spans_ = spark.createDataFrame([("pure citrate, here", 5, 13, True), ("an abc there", 3, 6, False), ("gas here.", 0, 3, True)], "s string, start int, end int, known boolean")
+    assert [(r.start, r.end) for r in filters.cure(spans_, "s", "known").collect()] == [(5, 12)]
+
+
+def test_articles_are_files_or_lines(spark, tmp_path):
+    (tmp_path / "PMC1_x.json").write_text('{"paragraphs": [{"IAO_term": ["a"],\n "body": "b"}]}')
+    assert [tuple(r) for r in files.read_articles(spark, str(tmp_path)).collect()] == [("PMC1", 0, ["a"], "b")]
