@@ -67,6 +67,23 @@ def _planes(fp: np.ndarray) -> np.ndarray:
     return out
 
 
+def bit_planes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit planes of any number of fingerprints, 64 in a row, and the members of each row as bits of a word."""
+    pad = (-len(fp)) % 64
+    rows = np.concatenate([fp, np.zeros(pad, np.uint64)]).reshape(-1, 64)
+    alive = np.full(len(rows), ~np.uint64(0))
+    if pad:
+        alive[-1] = (np.uint64(1) << np.uint64(64 - pad)) - np.uint64(1)
+    return _planes(rows), alive
+
+
+def members_of(hit: np.ndarray) -> np.ndarray:
+    """The numbers of the members whose bits are set."""
+    rows = np.flatnonzero(hit)
+    at, bit = np.nonzero(np.unpackbits(hit[rows].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return rows[at] * 64 + bit
+
+
 def within(planes: np.ndarray, query: np.ndarray, radius: int, alive: np.ndarray) -> np.ndarray:
     """Per row, the members (bits of a word) at most `radius` bits from that row's query, by carry-save counters:
     counters[k] holds bit k of all distances so far. Rows where all have exceeded the radius are abandoned."""
@@ -137,12 +154,7 @@ def _links(buckets: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarr
 
 def block_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two blocks of one bucket, thinned to a spanning forest of the two blocks' links."""
-    pad = (-len(right)) % 64
-    rows = np.concatenate([right, np.zeros(pad, np.uint64)]).reshape(-1, 64)
-    planes = _planes(rows)
-    alive = np.full(len(rows), ~np.uint64(0))
-    if pad:
-        alive[-1] = (np.uint64(1) << np.uint64(64 - pad)) - np.uint64(1)
+    planes, alive = bit_planes(right)
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -151,12 +163,10 @@ def block_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.nd
         return x
 
     for q in left:
-        hit = within(planes, np.full(len(rows), q), radius, alive)
-        for r in np.flatnonzero(hit):
-            for j in np.flatnonzero(np.unpackbits(hit[r : r + 1].astype("<u8").view(np.uint8), bitorder="little")):
-                a, b = find(int(q)), find(int(rows[r, j]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
+        for j in members_of(within(planes, np.full(len(alive), q), radius, alive)):
+            a, b = find(int(q)), find(int(right[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
     pairs = [(x, find(x)) for x in list(root)]
     pairs = [(x, y) for x, y in pairs if x != y]
     return np.array([x for x, _ in pairs], np.uint64), np.array([y for _, y in pairs], np.uint64)
