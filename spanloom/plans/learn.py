@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from spanloom.functions import stats
 from spanloom.functions import text as tx
 from spanloom.functions import tokens as tk
-from spanloom.operators import forest
+from spanloom.operators import forest, tagger
 from spanloom.plans.storage import scratch_path
 from spanloom.sources.files import save_table
 from spanloom.plans.catalog import WORDS, distinct_words, query, table
 from spanloom.plans import lexicons
-from spanloom.plans.tokenize import _FLAG_LIST, _GRAMS, _SHAPE, TOKENS, turn_tokens, word_features
+from spanloom.plans.tokenize import _FLAG_LIST, _GRAMS, _SHAPE, TOKENS, labelled, turn_tokens, word_features
 
 
 @query("agg_1", f"WITH {TOKENS} SELECT value, count(*) AS n FROM k GROUP BY value")
@@ -356,6 +357,58 @@ def ml_5(spark: SparkSession, d: str) -> DataFrame:
     return x.select("p_partkey", forest.leaf_columns(_NODES, F.col("x")).alias("leaves"))
 
 
+#: Turns that a tagger is trained on, those of least hash, and the most tokens of one.
+TAGGER_SAMPLE, TAGGER_TOKENS = 200, 32
+
+
+def tagger_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """turn_id, features, embedding, scores, tags of each turn, a list for each token. No trained vectors or classifiers
+    are to be had: the embedding is made of hashes of the lower-cased token, the class scores of its first characters."""
+    value = F.col("value")
+    numbers = [x.cast("double") for x in tx.flags(value)] + [F.least(F.char_length(value), F.lit(20)) / 20.0]
+    near = [(F.pmod(F.xxhash64(F.lower(value), F.lit(k)), F.lit(2001)) - 1000) / 1000.0 for k in range(8)]
+    scores = [F.when(F.pmod(F.ascii(F.substring(value, k + 1, 1)), F.lit(5)) == k, 1.0).otherwise(0.0) for k in range(len(tagger.TAGS))]
+    tokens = labelled(spark, d)
+    each = F.struct("id", F.array(*numbers).alias("f"), F.array(*near).alias("e"), F.array(*scores).alias("s"), "tag")
+    own = tokens.groupBy("turn_id").agg(F.array_sort(F.collect_list(each)).alias("t"))
+    return own.select("turn_id", F.col("t.f").alias("features"), F.col("t.e").alias("embedding"), F.col("t.s").alias("scores"), F.array_join("t.tag", "").alias("tags"))
+
+
+def trained_tagger(sequences: DataFrame, vectors: str, epochs: int, batch: int | None) -> tuple[tagger.Tagger, list[tuple[int, float, float]]]:
+    """A tagger of the sample, and its history of training."""
+    short = sequences.where(F.size("features").between(2, TAGGER_TOKENS)).orderBy(F.xxhash64("turn_id"), "turn_id").limit(TAGGER_SAMPLE)
+    rows = [(np.array(r.features), np.array(r[vectors]), np.array([tagger.TAGS.index(c) for c in r.tags])) for r in short.collect()]  # TAGGER_SAMPLE rows
+    model = tagger.Tagger(len(rows[0][0][0]), len(rows[0][1][0])) if rows else tagger.Tagger(1, 1)
+    return model, tagger.train(model, rows, epochs, batch)
+
+
+def _tagged(spark: SparkSession, d: str, vectors: str, epochs: int, batch: int | None) -> DataFrame:
+    sequences = save_table(tagger_sequences(spark, d), scratch_path(spark, "sequences"))
+    model, _ = trained_tagger(sequences, vectors, epochs, batch)
+    return tagger.tag(model, sequences.withColumn("vectors", F.col(vectors)), "turn_id")
+
+
+@query("ml_6")
+def ml_6(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of whole turns by a network over features and word vectors, trained on whole lengths at a time."""
+    return _tagged(spark, d, "embedding", 30, None)
+
+
+@query("ml_7")
+def ml_7(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of whole turns by a network over features and the class scores of a token classifier, trained by fours."""
+    return _tagged(spark, d, "scores", 10, 4)
+
+
+@query("ml_8")
+def ml_8(spark: SparkSession, d: str) -> DataFrame:
+    """Loss and accuracy of each epoch of both ways of training."""
+    sequences = save_table(tagger_sequences(spark, d), scratch_path(spark, "sequences"))
+    a, b = trained_tagger(sequences, "embedding", 30, None)[1], trained_tagger(sequences, "scores", 10, 4)[1]
+    rows = [("a", *x) for x in a] + [("b", *x) for x in b]
+    return spark.createDataFrame(rows, "model string, epoch int, loss double, accuracy double")
+
+
 @query("ml_9")
 def ml_9(spark: SparkSession, d: str) -> DataFrame:
     """Batch scoring through an injected model function: here a stub that follows from the words, since weights of the
