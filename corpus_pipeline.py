@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import fresh, lookup, materialize, text_column
 from spanloom.llm.decontaminate import drop_contaminated
 from spanloom.llm.line_dedup import dedup_lines
-from spanloom.llm.near_copies import near_copies
+from spanloom.llm.near_copies import near_copies, sifted
 from spanloom.llm.packing import pack_documents
 from spanloom.llm.quality import fit_quality, score_quality
 from spanloom.llm.queries import table, tokenizer_path
@@ -42,9 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     least = materialize(keys.groupBy("root").agg(F.min(F.struct("doc_id", "tid")).alias("least"), F.count("*").alias("n")), "near-least")
     marks = lookup(keys, least, ["root"], "n").select("doc_id", F.col("tid").alias(tid), (F.struct("doc_id", "tid") == F.col("least")).alias("stays"), "rows").where("not stays or rows > 1")
     marks = materialize(marks, "near-marks")
-    keyed = docs.withColumn(tid, F.xxhash64(text_column()))
-    plain = keyed.join(marks, ["doc_id", tid], "left_anti").select(*docs.columns)
-    repeated = keyed.join(marks.where("stays"), ["doc_id", tid], "left_semi")
+    maybe = fresh([*docs.columns, tid], "maybe")
+    keyed = sifted(docs.withColumn(tid, F.xxhash64(text_column())), marks, ["doc_id", tid], maybe)
+    plain = keyed.where(~F.col(maybe)).unionByName(keyed.where(maybe).join(marks, ["doc_id", tid], "left_anti")).select(*docs.columns)
+    repeated = keyed.where(maybe).join(marks.where("stays"), ["doc_id", tid], "left_semi")
     return plain.unionByName(repeated.groupBy("doc_id", tid).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from math import comb
 
+import numpy as np
 import pytest
 
 from spanloom.llm import near_copies as module
-from spanloom.llm.near_copies import RADIUS, near_copies, set_fingerprints, shingle_sets
+from spanloom.llm.near_copies import BITS, RADII, RADIUS, WORDS, bucket_links, fingerprint_links, near_copies, set_fingerprints, shingle_sets, sifted, table_count
 
 
 def plain_set(text, width=5):
@@ -120,3 +121,93 @@ def test_set_fingerprints_match_plain_counts():
     for i in range(len(texts)):
         own = [int(x) for x in h[owner == i]]
         assert int(got[i]) == sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in own) > len(own))
+
+
+def flipped(rng, fp, n):
+    """The fingerprints, each with n other bits flipped."""
+    bits = np.zeros((len(fp), BITS), np.uint8)
+    for row in bits:
+        row[rng.permutation(BITS)[:n]] = 1
+    return fp ^ np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+
+def plain_near(fp):
+    """Which fingerprints are within all radii."""
+    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").astype(int)
+    return np.logical_and.reduce([(bits[:, None, :b] != bits[None, :, :b]).sum(2) <= r for b, r in RADII.items()])
+
+
+def plain_roots(m, a, b):
+    root = list(range(m))
+    for x, y in zip(a, b, strict=True):
+        lo, hi = sorted((root[x], root[y]))
+        root = [lo if r == hi else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("large", [4096, 30])
+def test_bucket_links_match_plain_distances(monkeypatch, large):
+    monkeypatch.setattr(module, "LARGE", large)
+    rng = np.random.default_rng(2)
+    for m in (0, 1, 2, 63, 64, 65, 200):
+        base = rng.integers(0, 1 << 64, (m // 5 + 1, WORDS), np.uint64)
+        fp = flipped(rng, base[rng.integers(0, len(base), m)], 38)  # 76 of 256 bits between two, less the common ones
+        near = plain_near(fp) if m else np.zeros((0, 0), bool)
+        assert m < 60 or near.sum() > 2 * m
+        a, b = bucket_links(fp)
+        assert len(a) < max(m, 1) and plain_roots(m, a, b) == plain_roots(m, *np.nonzero(near))
+
+
+def test_fingerprints_alone_form_the_blocks(spark):
+    """Rows that have nothing but fingerprints are linked by them, over buckets of equal bits."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, (300, WORDS), np.uint64)
+    fp = np.concatenate((base, flipped(rng, base, 39), flipped(rng, base[:100], 110))).view(np.int64)
+    nodes = spark.createDataFrame([(i, 100, *map(int, x)) for i, x in enumerate(fp)], "sid long, n long, " + ", ".join(f"f{w} long" for w in range(WORDS)))
+    for count in (1, 30_000):  # one bucket, and 27 tables keyed by five bits and more
+        got = {(min(r), max(r)) for r in fingerprint_links(nodes, count).collect()}
+        assert got == {(i, i + 300) for i in range(300)}
+
+
+def test_many_buckets_find_the_plain_groups(spark, monkeypatch):
+    monkeypatch.setattr(module, "BUCKET", 8)
+    texts = planted(6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of: dict = {}
+    for r in near_copies(df).collect():
+        of.setdefault(r.root, []).append(r.doc_id)
+    got = {d: min(g) for g in of.values() for d in g}
+    assert [got[i] for i in range(len(texts))] == plain_groups(texts)
+
+
+def test_tables_miss_few_pairs_of_any_size():
+    assert max(chance_of_bit(c, a, c // 4 - a) for c in range(5, 60) for a in range(c // 4 + 1)) < module.CHANCE
+    assert max(chance_of_bit(4, a, 1 - a) for a in (0, 1)) <= module.CHANCE_SMALL
+    assert table_count(0, 0.2) == 1
+    rng = np.random.default_rng(8)
+    tables = table_count(4, module.CHANCE)
+    missed = (1 - sum(comb(BITS, d) * module.CHANCE**d * (1 - module.CHANCE) ** (BITS - d) * (comb(BITS - d, 4) / comb(BITS, 4)) for d in range(BITS + 1))) ** tables
+    apart = rng.random((2000, BITS)) < module.CHANCE
+    hits = sum(~apart[:, rng.permutation(BITS)[:4]].any(1) for _ in range(tables))
+    assert missed < 7e-5 and (hits == 0).sum() <= 2
+
+
+def test_further_words_are_fingerprints_of_scrambled_hashes():
+    import pyarrow as pa
+
+    texts = pa.array(["", "one two", " ".join(map(str, range(70_000))), "a b c d e f"])
+    owner, h = shingle_sets(texts)
+    words = [set_fingerprints(owner, h, len(texts), w).view("u8") for w in range(WORDS)]
+    assert all(w[0] == 0 for w in words) and len({int(w[2]) for w in words}) == WORDS
+    own = h[owner == 2]
+    assert int(words[0][2]) == sum(1 << b for b in range(64) if 2 * int(((own >> np.uint64(b)) & np.uint64(1)).sum()) > len(own))
+
+
+def test_sifted_keeps_every_row_that_a_join_finds(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "id % 7 as word", "id * 3 as held").unionByName(spark.sql("select cast(null as long) as doc_id, 1L as word, 2L as held"))
+    for n in (0, 1, 400):
+        keys = spark.range(n).selectExpr("id * 10 as doc_id")
+        got = sifted(rows, keys, ["doc_id"], "maybe")
+        assert got.columns == ["doc_id", "word", "held", "maybe"] and got.count() == 5001
+        assert got.where("not maybe").join(keys, "doc_id").count() == 0
+        assert got.where("maybe").join(keys, "doc_id").count() == n and got.where("maybe").count() < n + 1500
